@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         own = encoder(tokenizer_path)
         for batch in batches:
             for part in by_bytes(batch):
-                sizes = pa.compute.binary_length(part.column("text")).cast(pa.int64())
+                sizes = pc.binary_length(part.column("text")).cast(pa.int64())
                 counts = [len(ids) // 4 for ids in own.ids(part.column("text").to_pylist())]
                 yield pa.record_batch([part.column("doc_id"), sizes, pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
