@@ -104,12 +104,19 @@ def fit_platt(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, f
         return float(np.log((p + 0.5) / (q + 0.5))), 0.0
     theta, w = np.array([np.log(p / q), 0.0]), pos + neg
     design = np.stack([np.ones_like(x), x], 1)
-    for _ in range(100):
+
+    def loss(t: np.ndarray) -> float:
+        z = design @ t
+        return float((w * np.logaddexp(0, z) - pos * z).sum() + 0.5e-3 * t @ t)
+
+    for _ in range(200):
         f = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
         grad = design.T @ (pos - w * f) - 1e-3 * theta
         hess = (design * (w * f * (1 - f))[:, None]).T @ design + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        theta = theta + np.clip(step, -2, 2)
+        step, now = np.linalg.solve(hess, grad), loss(theta)
+        while loss(theta + step) > now and np.abs(step).max() > 1e-10:
+            step = step / 2
+        theta = theta + step
         if np.abs(step).max() < 1e-9:
             break
     return (float(theta[0]), float(theta[1])) if theta[1] >= 0 else (float(np.log(p / q)), 0.0)

@@ -33,7 +33,7 @@ def word_hashes(text: str) -> np.ndarray:
     words = _WORD.findall(text.lower())
     if len(_MEMO) > 500_000:
         _MEMO.clear()
-    for w in set(words) - _MEMO.keys():
+    for w in (w for w in set(words) if w not in _MEMO):
         _MEMO[w] = xxhash.xxh64_intdigest(w.encode())
     return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
 

@@ -64,9 +64,10 @@ class PartEncoder:
         if len(self.memo) > MEMO:
             self.memo.clear()
         cut = [list(self.parts(text)) for text in texts]
-        new = set().union(*(part for parts in cut for part in parts)) - self.memo.keys()
         run, size = [], 0
-        for part in new:
+        for part in set().union(*(part for parts in cut for part in parts)):
+            if part in self.memo:
+                continue
             run.append(part)
             size += len(part)
             if size > ENCODE_BYTES:

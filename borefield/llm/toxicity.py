@@ -26,15 +26,21 @@ MAX_ROWS = 40_000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO: dict[str, int] = {}
+_MASK = (1 << BITS) - 1
 
 
 def word_codes(text: str) -> np.ndarray:
+    """(3, n): codes of each word, of its first six and of its first eight letters (the word's again where it is shorter)."""
     words = _WORD.findall(text.lower())
     if len(_MEMO) > 500_000:
         _MEMO.clear()
-    for w in set(words) - _MEMO.keys():
-        _MEMO[w] = zlib.crc32(w.encode()) & ((1 << BITS) - 1)
-    return np.fromiter(map(_MEMO.__getitem__, words), np.int64, len(words))
+    for w in (w for w in set(words) if w not in _MEMO):
+        own = zlib.crc32(w.encode()) & _MASK
+        six = zlib.crc32(f"{w[:6]}-".encode()) & _MASK if len(w) > 6 else own
+        eight = zlib.crc32(f"{w[:8]}-".encode()) & _MASK if len(w) > 8 else six
+        _MEMO[w] = own | six << BITS | eight << 2 * BITS
+    packed = np.fromiter(map(_MEMO.__getitem__, words), np.int64, len(words))
+    return np.stack([packed & _MASK, packed >> BITS & _MASK, packed >> 2 * BITS])
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -78,7 +84,7 @@ class ToxicityModel:
         return dense
 
     def segments(self, codes: np.ndarray, dense: np.ndarray) -> list[tuple[int, int, float]]:
-        return maximal_segments(dense[codes])
+        return maximal_segments(dense[codes].max(0))
 
     def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> tuple[float, int]:
         """Sum of the segments' normalised scores, and how many are significant.
@@ -108,7 +114,7 @@ def _code_counts(batches):
             codes = word_codes(text)
             (toxic if y else clean)[np.unique(codes)] += 1
             if not y:
-                np.add.at(total, codes, 1)
+                np.add.at(total, codes[0], 1)
         at = np.flatnonzero(toxic + clean)
         yield pa.record_batch([pa.array(x) for x in (at, toxic[at], clean[at], total[at])], ["code", "toxic", "clean", "total"])
 
@@ -128,10 +134,10 @@ def _lambda(scores: np.ndarray, weight: np.ndarray) -> float:
     return high
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: float = 20.0, z: float = 1.96, drift: float = 0.35) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: float = 100.0, z: float = 3.5, drift: float = 0.7) -> ToxicityModel:
     """Fit on a bounded sample of the labelled rows outside the held-out fold.
 
-    Words count once a document. `prior` documents' worth of pseudo-counts follow the words' frequency in
+    Words, and their first six and eight letters, count once a document; a word scores as the best of the three. `prior` documents' worth of pseudo-counts follow the words' frequency in
     both classes together; words under `z` standard errors share the rest's log-odds less `drift`, so that neutral
     text scores below zero. Without labels of both classes the model gives one score to all.
     """
@@ -155,7 +161,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, p
     keep &= delta > 0  # words of clean text are the rest
     mass1, mass0 = y1[~keep].sum() / n1, y0[~keep].sum() / n0
     model.rest = min(math.log((mass1 + 1e-9) / (mass0 + 1e-9)), 0.0) - drift if mass0 else -drift
-    model.codes, model.odds = counts["code"].to_numpy(np.int64)[keep], np.minimum(delta[keep], 6.0)
+    model.codes, model.odds = counts["code"].to_numpy(np.int64)[keep], np.minimum(delta[keep], 5.0)
     model.lam = _lambda(np.append(model.odds, model.rest), np.append(tf[keep] + 0.01, max(tf[~keep].sum(), 1.0)))
 
     def best(batches):
@@ -164,7 +170,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, p
             out = []
             for text in batch.column("text").to_pylist():
                 codes = word_codes(text)
-                out.append((len(codes), max((s for _, _, s in model.segments(codes, dense)), default=0.0)))
+                out.append((codes.shape[1], max((s for _, _, s in model.segments(codes, dense)), default=0.0)))
             words, most = zip(*out, strict=True) if out else ((), ())
             yield pa.record_batch([pa.array(words, pa.int64()), pa.array(most, pa.float64())], ["n", "best"])
 
@@ -177,7 +183,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, p
     def histogram(batches):
         dense = model.lookup()
         for batch in batches:
-            x = [model.evidence(len(c), model.segments(c, dense))[0] for c in map(word_codes, batch.column("text").to_pylist())]
+            x = [model.evidence(c.shape[1], model.segments(c, dense))[0] for c in map(word_codes, batch.column("text").to_pylist())]
             at = np.clip(((squash(np.array(x, float)) + 8) * bins / 16).astype(np.int64), 0, bins - 1)
             yield pa.record_batch([pa.array(at), batch.column("y")], ["bin", "y"])
 
@@ -202,7 +208,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 for text in part.column("text").to_pylist():
                     codes = word_codes(text)
                     found = model.segments(codes, dense)
-                    evidence, k = model.evidence(len(codes), found)
+                    evidence, k = model.evidence(codes.shape[1], found)
                     best = sorted(found, key=lambda s: (-s[2], s[0]))[:k]
                     x.append(evidence)
                     strong.append(k)
@@ -224,7 +230,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
         for batch in batches:
             for part in by_bytes(batch):
                 found = [word_codes(t or "") for t in part.column("text").to_pylist()]
-                x = [model.evidence(len(c), model.segments(c, dense))[0] for c in found]
+                x = [model.evidence(c.shape[1], model.segments(c, dense))[0] for c in found]
                 yield part.filter(pa.array(model.score(np.array(x, float)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
