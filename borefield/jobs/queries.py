@@ -258,7 +258,7 @@ def test_sql(name: str, factor: str) -> str:
   FROM {name}_v v JOIN {name}_s USING (bore_id) JOIN {name}_f USING (bore_id)
 ),
 {name}_m AS (
-  SELECT bore_id, n, s, var_s, side * z AS z, CASE WHEN z = 0 THEN 1.0 ELSE {PHI_TAIL} END AS p_value, factor, n / factor AS effective_n,
+  SELECT bore_id, n, s, var_s, side * z AS z, CASE WHEN z = 0 THEN 1.0 WHEN z > 7 THEN 0.0 ELSE {PHI_TAIL} END AS p_value, factor, n / factor AS effective_n,
     CASE WHEN n * (n - 1) / 2 > tied_pairs THEN s / sqrt((n * (n - 1) / 2 - tied_pairs) * (n * (n - 1) / 2)) ELSE 0 END AS tau
   FROM {name}_z
 )"""
