@@ -31,7 +31,7 @@ _TABLE = 20
 
 def word_hashes(text: str) -> np.ndarray:
     words = _WORD.findall(text.lower())
-    if len(_MEMO) > 500_000:
+    if len(_MEMO) > 200_000:
         _MEMO.clear()
     for w in (w for w in set(words) if w not in _MEMO):
         _MEMO[w] = xxhash.xxh64_intdigest(w.encode())

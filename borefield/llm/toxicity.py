@@ -32,7 +32,7 @@ _MASK = (1 << BITS) - 1
 def word_codes(text: str) -> np.ndarray:
     """(3, n): codes of each word, of its first six and of its first eight letters (the word's again where it is shorter)."""
     words = _WORD.findall(text.lower())
-    if len(_MEMO) > 500_000:
+    if len(_MEMO) > 200_000:
         _MEMO.clear()
     for w in (w for w in set(words) if w not in _MEMO):
         own = zlib.crc32(w.encode()) & _MASK
