@@ -27,7 +27,7 @@ def spark(tmp_path_factory):
 
 def plain(value):
     """Values of either engine in one form."""
-    if value is None or value != value:
+    if value is None or type(value).__name__ in ("NAType", "NaTType") or value != value:
         return None
     if isinstance(value, bool) or type(value).__name__ == "bool":
         return str(bool(value))
@@ -38,7 +38,7 @@ def plain(value):
 
 def rows_of(frame):
     names = sorted(frame.columns)
-    return names, sorted(tuple(plain(v) for v in row) for row in frame[names].astype(object).itertuples(index=False))
+    return names, sorted((tuple(plain(v) for v in row) for row in frame[names].astype(object).itertuples(index=False)), key=lambda r: [(v is None, v or "") for v in r])
 
 
 def duck(sf_dir):
