@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside an Arrow task.
 BATCH_BYTES = 4 << 20
+#: A key is hot when it has over one in HOT of all rows, so there are fewer than HOT such keys.
+HOT = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, keys: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `keys` (each key once, `n` rows of `rows` or fewer have it) where one key may have a third of rows.
+
+    Rows of hot keys, fewer than HOT of `total` rows, meet them by broadcast where they lie; only the rest are shuffled, so
+    no task gets more than its share. Both sides are read more than once and must be stable (tables or checkpoints).
+    """
+    is_hot = F.col("n") > total // HOT
+    hot, rest = keys.where(is_hot), keys.where(~is_hot)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot.drop("n")), key, how).unionByName(cold.join(rest.drop("n"), key, how))
+
+
 def id_text(df: DataFrame, *keep: str) -> DataFrame:
     """doc_id and text (null: empty); other columns, whatever their names, are left out."""
     return df.select(

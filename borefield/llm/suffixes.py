@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, id_text, materialize, table
+from .common import by_bytes, id_text, materialize, spread_join, table
 
 MIN_WORDS = 50
 _BASE = 0x9E3779B97F4A7C15
@@ -170,8 +170,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = id_text(docs).where("doc_id IS NOT NULL")
     have = key_filter(materialize(repeated_keys(docs, min_words)))
     windows = materialize(docs.mapInArrow(_windows(have, min_words), "window long, doc_id long, word long"))
-    shared = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window")
-    found = windows.join(shared, "window", "left_semi").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
+    shared = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    kept = spread_join(windows, materialize(shared.select("window", "n")), "window", windows.count(), "left_semi")
+    found = kept.groupBy("doc_id").agg(F.collect_set("word").alias("words"))
     spans = found.mapInArrow(_merge(min_words), "doc_id long, start_word long, end_word long")
     return spans.withColumn("n_words", F.col("end_word") - F.col("start_word"))
 
