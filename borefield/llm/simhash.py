@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, id_text, materialize, table
+from .common import by_bytes, id_text, materialize, spread_join, table
 
 MAX_BITS, SHINGLE, SEED = 3, 3, 42
 _BLOCK = 1 << 15
@@ -100,30 +100,27 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of `edges` (a, b): root is the least node reachable.
+    """(node, root) for each node of `edges` (a, b), a < b: root is the least node reachable.
 
     Alternates large-star and small-star steps, each a min by node and a join, until nothing changes; the
-    number of rounds grows with the logarithm of the longest chain. Nothing but two numbers reaches the driver.
+    number of rounds grows with the logarithm of the longest chain. A node that a third of all edges meet is joined
+    where its edges lie. Nothing but two numbers reaches the driver.
     """
-    edges, seen = materialize(edges), None
+    edges = materialize(edges)
+    seen, n = None, edges.count()
     for _ in range(max_rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).where("a < b").distinct()
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("v").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .where("a < b")
-            .distinct()
-        )
-        edges = materialize(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        up = spread_join(both.where("v > u"), least, "u", 2 * n)
+        large = materialize(up.select(F.col("v").alias("u"), F.col("m").alias("v")).where("v < u").distinct())
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        down = spread_join(large, least, "u", large.count())
+        stars = F.array(F.struct(F.col("m").alias("a"), F.col("v").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))
+        edges = materialize(down.select(F.explode(stars).alias("e")).select("e.a", "e.b").where("a < b").distinct())
+        n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (n, total) == seen:
             break
-        seen = now
+        seen = n, total
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
@@ -137,12 +134,14 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     any other. Null ids are carried and never are a component_id unless all ids of the component are null.
     """
     fps = materialize(fingerprints(docs))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     roots = components(links(nodes))
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    grouped = materialize(nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node"))
+    smallest = materialize(grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))
+    n, rows = grouped.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    named = spread_join(grouped.select("fp", "copies", "root"), smallest, "root", n)
+    named = materialize(named.select("fp", "component_id", F.col("copies").alias("n")))
+    return spread_join(fps, named, "fp", rows).select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
