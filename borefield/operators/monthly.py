@@ -79,9 +79,15 @@ def with_positions(monthly: DataFrame, key: str = "bore_id") -> DataFrame:
 
 
 def average_rank(df: DataFrame, key: str, value: str) -> DataFrame:
-    """`df` with rank: ties share the mean of their ranks."""
-    ties = F.count("*").over(Window.partitionBy(key, value))
-    return df.withColumn("rank", F.rank().over(Window.partitionBy(key).orderBy(value)) + (ties - 1) / F.lit(2.0))
+    """`df` with rank: ties share the mean of their ranks; nulls are one tie and come first.
+
+    Equal values are counted before the window, which runs over a key's different values only.
+    """
+    counts = df.groupBy(F.col(key).alias("_key"), F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_key").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = counts.select("_key", "_value", (F.sum("_n").over(upto) - (F.col("_n") - 1) / F.lit(2.0)).alias("rank"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(value).eqNullSafe(F.col("_value"))
+    return df.join(ranks, same).drop("_key", "_value")
 
 
 def as_series(monthly: DataFrame, key: str = "bore_id") -> DataFrame:
