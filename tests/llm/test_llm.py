@@ -11,7 +11,7 @@ import xxhash
 from conftest import SMALL, duck, rows_of
 from pyspark.sql import functions as F
 
-from borefield.llm import decontamination, packing, preference, quality, secrets, simhash, suffixes, token_counts, tokenizing, topk, toxicity
+from borefield.llm import common, decontamination, packing, preference, quality, secrets, simhash, suffixes, token_counts, tokenizing, topk, toxicity
 from borefield.llm.queries import ORACLE_SQL, QUERIES
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -355,3 +355,17 @@ def test_pipeline(spark, docs, texts):
             assert set(left) <= set(rows) and all(rows[i] == t for i, t in left.items())
     end = {r.doc_id: r.text for r in kept.collect()}
     check_packing(corpus_pipeline.STAGES[-1][1](spark, kept, SMALL).collect(), dict(zip(end, reference_ids(end.values()), strict=True)))
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+@pytest.mark.parametrize("hot", [1, 5, 1000])
+def test_hot_keys_join_as_others_do(spark, monkeypatch, how, hot):
+    """Whatever the threshold: hot keys, keys without a partner, null keys and empty sides."""
+    monkeypatch.setattr(common, "HOT", hot)
+    keys = ["a"] * 40 + ["b"] * 3 + ["c", None, "gone"]
+    rows = spark.createDataFrame(list(enumerate(keys)), "i int, k string")
+    partners = spark.createDataFrame([(k, keys.count(k), f"of {k}") for k in "abcz"], "k string, n long, x string")
+    got = common.spread_join(rows, partners, "k", len(keys), how)
+    assert rows_of(got.toPandas()) == rows_of(rows.join(partners.drop("n"), "k", how).toPandas()) and got.count() == 44
+    assert common.spread_join(rows.limit(0), partners, "k", 0, how).count() == 0
+    assert common.spread_join(rows, partners.limit(0), "k", len(keys), how).count() == 0
