@@ -134,12 +134,13 @@ def _lambda(scores: np.ndarray, weight: np.ndarray) -> float:
     return high
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: float = 100.0, z: float = 3.5, drift: float = 0.7) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: float = 100.0, z: float = 3.5, least: float = 1.5, drift: float = 1.0) -> ToxicityModel:
     """Fit on a bounded sample of the labelled rows outside the held-out fold.
 
     Words, and their first six and eight letters, count once a document; a word scores as the best of the three. `prior` documents' worth of pseudo-counts follow the words' frequency in
-    both classes together; words under `z` standard errors share the rest's log-odds less `drift`, so that neutral
-    text scores below zero. Without labels of both classes the model gives one score to all.
+    both classes together; words under `z` standard errors or `least` log-odds share the rest's log-odds less `drift`, so
+    that neutral text scores below zero (with many labels, standard errors alone let through words that hardly differ).
+    Without labels of both classes the model gives one score to all.
     """
     sample = materialize(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, max_rows))
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -158,7 +159,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, p
     odds = lambda y, a, m: np.log((y + a) / np.maximum(m + prior - y - a, 0.5))
     delta = odds(y1, a1, n1) - odds(y0, a0, n0)
     keep = np.abs(delta) / np.sqrt(1 / (y1 + a1) + 1 / (y0 + a0)) >= z
-    keep &= delta > 0  # words of clean text are the rest
+    keep &= delta > least  # words of clean text are the rest
     mass1, mass0 = y1[~keep].sum() / n1, y0[~keep].sum() / n0
     model.rest = min(math.log((mass1 + 1e-9) / (mass0 + 1e-9)), 0.0) - drift if mass0 else -drift
     model.codes, model.odds = counts["code"].to_numpy(np.int64)[keep], np.minimum(delta[keep], 5.0)
