@@ -357,6 +357,42 @@ def test_pipeline(spark, docs, texts):
     check_packing(corpus_pipeline.STAGES[-1][1](spark, kept, SMALL).collect(), dict(zip(end, reference_ids(end.values()), strict=True)))
 
 
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_drops_near_copies_beyond_three_bits(spark, docs, texts):
+    """Between the stages as they stand, no pair of five-word Jaccard similarity 0.8 is left, and nothing else goes."""
+    import corpus_pipeline
+
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "decontamination":
+            break
+        kept = common.materialize(stage(spark, kept, SMALL)) if name != "toxicity" else kept
+    fp, sets = {i: slow_fingerprint(t) for i, t in texts.items()}, {i: five_words(t) for i, t in texts.items()}
+    near = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert sum((fp[a] ^ fp[b]).bit_count() > 3 for a, b in near) == 2
+    links = near + [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3]
+    assert {r.doc_id for r in kept.collect()} == {i for i, root in closure(links, texts).items() if i == root}
+
+
+def test_near_copies_by_row(spark):
+    """Chains, similarities on either side of 0.8, repeated rows, one id with two texts, rows without id, no words, no rows."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(94)]
+    base, fork = " ".join(words), " ".join(words[:80] + [f"x{i}" for i in range(14)])
+    near = " ".join(words[:84] + [f"y{i}" for i in range(10)])  # 80 of 100 runs of five words are shared: just 0.8
+    far = " ".join(words[:83] + [f"z{i}" for i in range(11)])  # 79 of 101
+    given = [(1, base), (1, base), (2, near), (3, far), (None, fork), (None, fork), (4, fork.upper()), (5, "lone text"), (5, base), (6, ""), (None, None), (None, "no id")]
+    rows = spark.createDataFrame(given, "doc_id long, text string")
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, rows, SMALL).collect())
+    assert left == Counter([(1, base), (3, far), (4, fork.upper()), (5, "lone text"), (6, ""), (None, "no id")])
+    assert corpus_pipeline.near_copies(spark, rows.limit(0), SMALL).count() == 0
+
+
 @pytest.mark.parametrize("how", ["inner", "left_semi"])
 @pytest.mark.parametrize("hot", [1, 5, 1000])
 def test_hot_keys_join_as_others_do(spark, monkeypatch, how, hot):
