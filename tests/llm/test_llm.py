@@ -393,6 +393,16 @@ def test_near_copies_by_row(spark):
     assert corpus_pipeline.near_copies(spark, rows.limit(0), SMALL).count() == 0
 
 
+def test_near_duplicates_by_row(spark):
+    """Repeated rows, an id with a copy and a text of its own, copies without id."""
+    import corpus_pipeline
+
+    given = [(1, "a first text"), (1, "a first text"), (2, "a first text"), (2, "only here, nowhere else"), (None, "no id at all"), (None, "no id at all"), (None, "a first text")]
+    rows = spark.createDataFrame(given, "doc_id long, text string")
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, rows, SMALL).collect())
+    assert left == Counter([(1, "a first text"), (2, "only here, nowhere else"), (None, "no id at all")])
+
+
 @pytest.mark.parametrize("how", ["inner", "left_semi"])
 @pytest.mark.parametrize("hot", [1, 5, 1000])
 def test_hot_keys_join_as_others_do(spark, monkeypatch, how, hot):
