@@ -49,54 +49,85 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     return id_text(docs).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-class _Stock:
-    """How many pieces of each length are left, and which lengths sum to a wanted gap."""
+class _Complements:
+    """Lengths in stock and an index of their single, pair and triple sums, consumed as counts run out.
+
+    Of each sum the index lists the combinations of lengths that make it, the largest length first, and how far that list
+    is used up. Counts only fall, so a combination that lacks a length never comes back and is passed once. A triple is
+    a length and a smaller pair sum, so that the index has O(capacity^2) entries.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, np.int64)
-        for length, n in counts.items():
-            self.left[length] = n
+        self.left[list(counts)] = list(counts.values())
+        lengths = np.flatnonzero(self.left)[::-1]
+        self.pairs = self._by_sum(lengths, lengths, capacity)
+        sums = np.flatnonzero(np.diff(self.pairs[1]))
+        self.triples = self._by_sum(lengths, sums, capacity)
+        self.used = {"pairs": self.pairs[1][:-1].copy(), "triples": self.triples[1][:-1].copy()}
+
+    @staticmethod
+    def _by_sum(first: np.ndarray, second: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first lengths in order of their sum with a second one, where each sum's run starts)."""
+        sums = np.add.outer(first, second)
+        rows, columns = np.nonzero(sums <= capacity)
+        sums = sums[rows, columns]
+        order = np.lexsort((-first[rows], sums))
+        return first[rows][order], np.searchsorted(sums[order], np.arange(capacity + 2))
 
     def take(self, lengths: list[int]) -> int:
         """How often all of `lengths` can be taken together."""
         return min(int(self.left[x]) // lengths.count(x) for x in set(lengths))
 
-    def pair(self, gap: int, first: list[int]) -> list[int] | None:
-        """Two lengths that fill the gap with `first` in use, the larger as large as can be."""
-        have = self.left[: gap + 1] > 0
-        for a in np.flatnonzero((have & have[::-1])[(gap + 1) // 2 : gap])[::-1] + (gap + 1) // 2:
-            if self.take([*first, int(a), gap - int(a)]):
-                return [int(a), gap - int(a)]
+    def filling(self, gap: int, first: list[int]) -> list[int] | None:
+        """One, two or three lengths that fill the gap exactly with `first` in use."""
+        if not gap or self.take([*first, gap]):
+            return [gap][: int(gap > 0)]
+        return self._pair(gap, first, gap) or self._triple(gap, first)
+
+    def _pair(self, gap: int, first: list[int], most: int) -> list[int] | None:
+        """The pair of that sum whose larger length, `most` at most, is the largest."""
+        a_of, starts = self.pairs
+        at, end = int(self.used["pairs"][gap]), int(starts[gap + 1])
+        while at < end and not self._whole(int(a_of[at]), gap - int(a_of[at])):
+            at += 1
+        self.used["pairs"][gap] = at
+        for a in map(int, a_of[at:end]):
+            if 2 * a < gap:
+                return None
+            if a <= most and self.take([*first, a, gap - a]):
+                return [a, gap - a]
         return None
 
-    def triple(self, gap: int, first: list[int]) -> list[int] | None:
-        for a in np.flatnonzero(self.left[1 : gap - 1] > 0)[::-1] + 1:
+    def _triple(self, gap: int, first: list[int]) -> list[int] | None:
+        a_of, starts = self.triples
+        at, end = int(self.used["triples"][gap]), int(starts[gap + 1])
+        while at < end and not (self.left[a_of[at]] and self.used["pairs"][gap - a_of[at]] < self.pairs[1][gap - a_of[at] + 1]):
+            at += 1
+        self.used["triples"][gap] = at
+        for a in map(int, a_of[at:end]):
             if 3 * a < gap:
                 return None
-            rest = gap - int(a)
-            if rest >= 2 and self.take([*first, int(a)]) and (two := self.pair(rest, [*first, int(a)])):
-                return [int(a), *two]
+            if self.take([*first, a]) and (two := self._pair(gap - a, [*first, a], a)):
+                return [a, *two]
         return None
 
+    def _whole(self, a: int, b: int) -> bool:
+        return bool(self.left[a] and self.left[b] and (a != b or self.left[a] > 1))
+
 
 def plan_packing(counts: dict[int, int], capacity: int = 2048) -> list[tuple[list[int], int]]:
     """[(lengths of a sequence in order, how many such sequences)] that use every piece once.
 
-    Largest first, each length looks for a single, a pair or a triple of lengths that exactly fills its gap
+    Largest first, each length looks up a single, a pair or a triple of lengths that exactly fills its gap
     and takes as many as the counts allow; each such step uses up a length, so there are O(capacity) of them.
     What has no exact complement is placed by best fit, decreasing.
     """
-    stock, bins = _Stock(counts, capacity), []
+    stock, bins = _Complements(counts, capacity), []
     residual: dict[int, int] = {}
     for length in range(capacity, 0, -1):
         while n := int(stock.left[length]):
-            gap = capacity - length
-            if not gap:
-                fill: list[int] | None = []
-            elif stock.take([length, gap]):
-                fill = [gap]
-            else:
-                fill = stock.pair(gap, [length]) or stock.triple(gap, [length])
+            fill = stock.filling(capacity - length, [length])
             if fill is None:
                 residual[length], stock.left[length] = n, 0
                 break
