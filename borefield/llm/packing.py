@@ -1,6 +1,7 @@
 """Best-fit packing: exact complements first, then best fit, over counts of lengths.
 
-The plan works on the histogram of piece lengths (at most `capacity` rows however large the corpus), so it
+Single, pair and triple sums of lengths are indexed, and combinations that fill a gap exactly are consumed from
+the index under the counts. The plan works on the histogram of piece lengths (at most `capacity` rows however large the corpus), so it
 is made on the driver; pieces find their places by their rank within their length, ranked in salted
 buckets so that a very common length is spread over many tasks.
 """
@@ -29,21 +30,26 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """
 
     def run(batches):
-        own, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        own = encoder(tokenizer_path)
         for batch in batches:
             for part in by_bytes(batch):
-                out: list[list] = [[], [], [], [], [], []]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.ids(part.column("text").to_pylist()), strict=True):
-                    ids += end
-                    for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[at : at + 4 * capacity]
-                        row = (doc_id, i, at // 4, len(cut) // 4, zlib.crc32(cut), np.frombuffer(cut, "<u4").astype("i4") if with_ids else None)
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                arrays = [pa.array(v, t) for v, t in zip(out, types, strict=False)]
+                found, sizes = own.encode_all(part.column("text").to_pylist())
+                ends = np.cumsum(sizes + 1)
+                ids = np.full(int(ends[-1]), end_id, "<u4")
+                own_ids = np.ones(len(ids), bool)
+                own_ids[ends - 1] = False
+                ids[own_ids] = found
+                pieces = -(-(sizes + 1) // capacity)
+                doc = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, (sizes + 1)[doc] - start)
+                past = np.cumsum(length)
+                raw = memoryview(ids).cast("B")
+                checks = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((past - length).tolist(), past.tolist(), strict=True)]
+                arrays = [part.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(checks, pa.int64())]
                 if with_ids:
-                    arrays.append(pa.array(out[5], pa.list_(pa.int32())))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(0, past), pa.int32()), pa.array(ids.view("<i4"))))
                 yield pa.record_batch(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
     return id_text(docs).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))

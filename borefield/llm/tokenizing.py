@@ -1,7 +1,8 @@
 """Exact encoding with public tokenizers, faster for repeated words.
 
 A text is cut at places no token can cross, each distinct part is encoded once by the library
-(`encode_batch`, batches balanced by bytes), and the ids of a text are the parts' ids in order.
+(`encode_batch`, batches balanced by bytes), and the ids of a text are the parts' ids in order. Parts are
+split, and distinct ones found, by Arrow for a batch of texts at once; a text's ids are then gathered by number.
 Where a tokenizer's file doesn't show such places, whole texts are encoded.
 """
 
@@ -10,22 +11,27 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Parts remembered by a worker, bytes of parts given to the library at once, characters split at once.
-MEMO, ENCODE_BYTES, SEGMENT = 700_000, 1 << 17, 1 << 20
+MEMO, ENCODE_BYTES, SEGMENT = 500_000, 1 << 17, 1 << 20
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _BLANK = re.compile(r"[ \t\r\n]")
+#: What may follow a word's letters without a token crossing.
+_TAIL = ".,;:!?"
 
 
 class PartEncoder:
-    """ids(texts) gives the token ids of whole texts."""
+    """encode_all(texts) gives the ids of whole texts and where each text's ids end."""
 
     def __init__(self, path: str):
-        self.memo: dict = {}
+        self.fresh: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
         self.bar: int | None = None
+        self.closing: np.ndarray | None = None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -41,69 +47,152 @@ class PartEncoder:
             own.no_padding()
             own.no_truncation()
             batch = getattr(own, "encode_batch_fast", own.encode_batch)
-            self.cut = _safe_cut(json.loads(own.to_str()))
+            spec = json.loads(own.to_str())
+            self.cut = _safe_cut(spec)
             self.encode = lambda texts: [e.ids for e in batch(texts, add_special_tokens=False)]
             if self.cut == "space" and len(bar := self.encode(["|"])[0]) == 1:
                 self.bar = bar[0]
-
-    def parts(self, text: str) -> Iterator[list]:
-        """Lists of parts of at most about SEGMENT characters each."""
-        if self.cut == "whole":
-            yield [text] if text else []
-        elif self.cut == "space":
+                if suffix := spec["model"].get("end_of_word_suffix"):
+                    self.closing = np.zeros(own.get_vocab_size(), bool)
+                    self.closing[[i for token, i in own.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _parts(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Every part of all texts, and how many parts each text has."""
+        if self.cut != "space":
+            cut = {"whole": lambda t: [t] if t else [], "keep": _BEFORE_SPACE.split, "drop": _drop_space}[self.cut]
+            parts = [cut(t) for t in texts]
+            return pa.array([p for found in parts for p in found], pa.string()), np.array([len(p) for p in parts])
+        pieces, owners = [], []
+        for i, text in enumerate(texts):
             at = 0
-            while len(text) - at > SEGMENT and (cut := _BLANK.search(text, at + SEGMENT)):
-                yield _words(text[at : cut.start()])
-                at = cut.start()
-            yield _words(text[at:] if at else text)
-        else:
-            yield from (_BEFORE_SPACE.split(text) if self.cut == "keep" else _drop_space(text),) if text else ([],)
+            while len(text) - at > SEGMENT and (blank := _BLANK.search(text, at + SEGMENT)):
+                pieces.append(text[at : blank.start()])
+                owners.append(i)
+                at = blank.start()
+            pieces.append(text[at:] if at else text)
+            owners.append(i)
+        whole = pa.array(pieces, pa.string())
+        # The tokenizer lower-cases, so either case of A-Z gives the same ids; special strings are told apart by case.
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_lower(whole)))
+        sizes = np.bincount(owners, pc.list_value_length(lists).to_numpy(zero_copy_only=False), len(texts))
+        return lists.flatten(), sizes.astype(np.int64)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, as uint32; how many ids each text has). Give a few MB of text at once."""
+        codes, known, sizes = self._coded(texts)
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(known), "<u4")
+        each = lengths[codes]
+        ends = np.cumsum(each)
+        if not len(ends):
+            return np.zeros(0, "<u4"), sizes
+        at = np.repeat((starts[codes] - (ends - each)).astype(np.int32), each)
+        ids = flat[np.add(at, np.arange(len(at), dtype=np.int32), out=at)]
+        return ids, _per_text(each, sizes)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How many ids each text has."""
+        codes, known, sizes = self._coded(texts)
+        return _per_text((np.fromiter(map(len, known), np.int64, len(known)) // 4)[codes], sizes)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian uint32 bytes; give a few MB of text at once."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        cut = [list(self.parts(text)) for text in texts]
+        """The ids of each text, as little-endian uint32 bytes."""
+        ids, sizes = self.encode_all(texts)
+        raw, ends = ids.astype("<u4", copy=False).tobytes(), np.cumsum(sizes) * 4
+        return [raw[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)] if len(texts) else []
+
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """For every part a number, for every number its ids, and the parts of each text."""
+        parts, sizes = self._parts(texts)
+        coded = parts.dictionary_encode()
+        return coded.indices.to_numpy(zero_copy_only=False), self._lookup(coded.dictionary.to_pylist()), sizes
+
+    def _lookup(self, distinct: list[str]) -> list[bytes]:
+        """The ids of each part; parts not remembered are encoded. Parts not met for long are forgotten."""
+        if len(self.fresh) > MEMO // 2:
+            self.aged, self.fresh = self.fresh, {}
+        out = self._remembered(distinct)
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if missing:
+            self._learn([distinct[i] for i in missing])
+            for i in missing:
+                out[i] = self.fresh[distinct[i]]
+        return out
+
+    def _remembered(self, parts: list[str]) -> list[bytes | None]:
+        fresh, aged = self.fresh, self.aged
+        out = list(map(fresh.get, parts))
+        if aged:
+            for i, ids in enumerate(out):
+                if ids is None and (ids := aged.get(parts[i])) is not None:
+                    out[i] = fresh[parts[i]] = ids
+        return out
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode parts. Letters and the punctuation after them are never in one token, so either is learned once."""
+        if self.closing is None:
+            return self._by_bytes(parts, self._encode)
+        words, rest, split = set(), [], []
+        for part in parts:
+            if part.isalpha():
+                words.add(part)
+            elif (core := part.rstrip(_TAIL)).isalpha():
+                split.append((part, core, part[len(core) :]))
+            else:
+                rest.append(part)
+        tails = {tail for _, _, tail in split} - set(rest)
+        cores = list({core for _, core, _ in split} - words)
+        words.update(core for core, ids in zip(cores, self._remembered(cores), strict=True) if ids is None)
+        self._by_bytes(list(words), self._encode_words)
+        self._by_bytes([*rest, *tails], self._encode)
+        for part, core, tail in split:
+            self.fresh[part] = self.fresh[core] + self.fresh[tail]
+
+    def _by_bytes(self, parts: list[str], encode) -> None:
         run, size = [], 0
-        for part in set().union(*(part for parts in cut for part in parts)):
-            if part in self.memo:
-                continue
+        for part in parts:
             run.append(part)
             size += len(part)
             if size > ENCODE_BYTES:
-                self._encode(run)
+                encode(run)
                 run, size = [], 0
-        self._encode(run)
-        get = self.memo.__getitem__
-        return [b"".join([b"".join(map(get, part)) for part in parts]) for parts in cut]
+        encode(run)
 
-    def _encode(self, run: list) -> None:
+    def _encode_words(self, run: list[str]) -> None:
+        """Parts of letters alone: in one text for the whole run, as each such word ends with the only closing token it has."""
+        if run:
+            ids = np.asarray(self.encode([" ".join(run)])[0], "<u4")
+            ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
+            if len(ends) != len(run) or ends[-1] != 4 * len(ids):
+                return self._encode(run)
+            self._keep(run, ids, np.append(0, ends[:-1]), ends)
+
+    def _encode(self, run: list[str]) -> None:
         if self.bar is not None:
             # One text for the whole run, with a part that has one id of its own between the parts.
-            plain = [p for p in run if b"|" not in p]
-            run = [p for p in run if b"|" in p]
+            plain = [p for p in run if "|" not in p]
+            run = [p for p in run if "|" in p]
             if plain:
-                ids = np.asarray(self.encode([" | ".join(p.decode() for p in plain)])[0], "<u4")
+                ids = np.asarray(self.encode([" | ".join(plain)])[0], "<u4")
                 ends = np.append(np.flatnonzero(ids == self.bar), len(ids)) * 4
-                raw, start = ids.tobytes(), 0
-                for part, end in zip(plain, ends.tolist(), strict=True):
-                    self.memo[part] = raw[start:end]
-                    start = end + 4
+                self._keep(plain, ids, np.append(0, ends[:-1] + 4), ends)
         if run:
-            texts = [p.decode() if isinstance(p, bytes) else p for p in run]
-            self.memo.update(zip(run, (np.asarray(i, "<u4").tobytes() for i in self.encode(texts)), strict=True))
+            self.fresh.update(zip(run, (np.asarray(i, "<u4").tobytes() for i in self.encode(run)), strict=True))
+
+    def _keep(self, parts: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.fresh.update(zip(parts, (raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
 
 
-def _words(text: str) -> list[bytes]:
-    """Parts between ASCII white space; a tokenizer that lower-cases sees the same ids for either case of A-Z."""
-    raw = text.encode()
-    if b"<|" in raw:  # special strings are told apart by case
-        return raw.split()
-    return raw.lower().split()
+def _per_text(each: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of `sizes` values, none for empty ones."""
+    sums = np.concatenate([[0], np.cumsum(each)])
+    ends = np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]
 
 
 def _drop_space(text: str) -> list[str]:
-    return [p if i == 0 else p[1:] for i, p in enumerate(_BEFORE_SPACE.split(text))]
+    return [p if i == 0 else p[1:] for i, p in enumerate(_BEFORE_SPACE.split(text))] if text else []
 
 
 def _safe_cut(spec: dict) -> str:
@@ -120,7 +209,8 @@ def _safe_cut(spec: dict) -> str:
     kinds = {n["type"] for n in norm}
     marked = all(t["content"].startswith("<|") for t in spec["added_tokens"])
     if blank and marked and "Lowercase" in kinds and kinds <= {"NFC", "Replace", "Lowercase"} and pre and pre[0]["type"] == "Split":
-        if pre[0]["behavior"] == "Removed" and pre[0]["invert"] and r"[^\s\p{L}\p{N}]+" in pre[0]["pattern"].get("Regex", ""):
+        pattern = pre[0]["pattern"].get("Regex", "")
+        if pre[0]["behavior"] == "Removed" and pre[0]["invert"] and r"[^\s\p{L}\p{N}]+" in pattern and r"|[\p{L}]+|" in pattern:
             return "space"
     if not norm and [p["type"] for p in pre] == ["ByteLevel"] and pre[0].get("use_regex", True) and not pre[0]["add_prefix_space"]:
         return "keep"
