@@ -54,6 +54,11 @@ def spread_join(rows: DataFrame, keys: DataFrame, key: str, total: int, how: str
     return rows.join(F.broadcast(hot.drop("n")), key, how).unionByName(cold.join(rest.drop("n"), key, how))
 
 
+def small_join(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Inner join that leaves `rows` where they lie if `keys`, which are counted, are at most `most`; else both are shuffled."""
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, key)
+
+
 def id_text(df: DataFrame, *keep: str) -> DataFrame:
     """doc_id and text (null: empty); other columns, whatever their names, are left out."""
     return df.select(
