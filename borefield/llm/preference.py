@@ -10,16 +10,42 @@ from .common import table
 TRAINED_ROLE = "assistant"
 
 
+def escape(text: Column) -> Column:
+    """A backslash more in each `<|`, `<\\|`, ..., so that no text can hold a mark of its own; undone by taking one away."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
 def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
 
 
-def paired_turns(conversations: DataFrame) -> DataFrame:
-    """(pair_id, chosen boolean, turn, role, text): conversations 2n and 2n + 1 are pair n, the even one is the chosen."""
+def _said() -> Column:
+    return F.struct(escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def paired_turns(conversations: DataFrame, role: str = TRAINED_ROLE) -> DataFrame:
+    """(block, pair_id, chosen boolean, turn, said struct): every conversation is the chosen side of a pair of its own.
+
+    The rejected side is the same conversation up to its last answer (last turn of `role`), and then the last answer of the
+    conversation whose id differs in the lowest bit, if there is one. Both conversations are in one block, and rows are dealt out by
+    block, the only shuffle. Rows without conversation or turn number take no part; of rows that give a turn twice the
+    least (role, text) counts; a conversation without an answer has nothing else on its rejected side.
+    """
     conv = F.col("conv_id").cast("long")
-    return conversations.select(
-        F.shiftright(conv, 1).alias("pair_id"), (conv.bitwiseAND(F.lit(1)) == 0).alias("chosen"), F.col("turn").cast("long").alias("turn"), "role", "text"
-    )
+    rows = conversations.select(F.shiftright(conv, 1).alias("block"), conv.alias("pair_id"), F.col("turn").cast("long").alias("turn"), _said().alias("said"))
+    rows = rows.where("pair_id IS NOT NULL AND turn IS NOT NULL").repartition("block").groupBy("block", "pair_id", "turn").agg(F.min("said").alias("said"))
+    odd = F.col("pair_id").bitwiseAND(F.lit(1)) == 1
+    answer = F.struct("turn", "said")
+
+    def last(side: Column) -> Column:
+        return F.max(F.when(side & (F.col("said.role") == role), answer)).over(Window.partitionBy("block"))
+
+    rows = rows.withColumn("even_last", last(~odd)).withColumn("odd_last", last(odd))
+    rows = rows.withColumn("own", F.when(odd, F.col("odd_last")).otherwise(F.col("even_last")))
+    rows = rows.withColumn("other", F.when(odd, F.col("even_last")).otherwise(F.col("odd_last")))
+    other = F.when(F.col("own").isNull() | (F.col("turn") < F.col("own.turn")), F.col("said")).when(F.col("turn") == F.col("own.turn"), F.col("other.said"))
+    sides = F.array(F.struct(F.lit(True).alias("chosen"), "said"), F.struct(F.lit(False).alias("chosen"), other.alias("said")))
+    return rows.select("block", "pair_id", "turn", F.explode(sides).alias("side")).select("block", "pair_id", "side.chosen", "turn", "side.said").where("said IS NOT NULL")
 
 
 def format_preferences(turns: DataFrame) -> DataFrame:
@@ -27,15 +53,19 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 
     `turns` is (pair_id, chosen, turn, role, text). The longest run of first turns that agree in turn number, role
     and text is rendered once, as prompt; the rest of either side is its completion. A mask lists start:end in code
-    points of the completion where the trained role speaks, its end mark included. Null roles and texts are empty;
-    rows without pair or turn number take no part; of rows that give a turn twice the least (role, text) counts; a side
-    that is missing is empty; sides that agree have empty completions. A pair is one row, so one pair's turns
-    meet in one task, as its text must.
+    points of the completion where the trained role speaks, its end mark included. Null roles and texts are empty, marks inside
+    them are escaped; rows without pair or turn number take no part; of rows that give a turn twice the least (role, text) counts;
+    a side that is missing is empty; sides that agree have empty completions. A pair is one row, so one pair's turns
+    meet in one task, as its text must; they are shuffled once.
     """
-    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     known = turns.where("pair_id IS NOT NULL AND turn IS NOT NULL")
-    both = known.groupBy("pair_id", "turn").agg(F.min(F.when(F.col("chosen"), said)).alias("c"), F.min(F.when(~F.col("chosen"), said)).alias("r"))
-    order = Window.partitionBy("pair_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return _formatted(known.select("pair_id", "chosen", "turn", _said().alias("said")).repartition("pair_id"), ["pair_id"])
+
+
+def _formatted(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """`turns` (keys, chosen, turn, said) must be dealt out by one of `keys`, whose last is pair_id and tells the others."""
+    both = turns.groupBy(*keys, "turn").agg(F.min(F.when(F.col("chosen"), F.col("said"))).alias("c"), F.min(F.when(~F.col("chosen"), F.col("said"))).alias("r"))
+    order = Window.partitionBy(*keys).orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     parted = both.withColumn("apart", F.max((~F.col("c").eqNullSafe(F.col("r"))).cast("int")).over(order) == 1)
     for side in "cr":
         parted = parted.withColumn(f"{side}_text", render(F.col(f"{side}.role"), F.col(f"{side}.text")))
@@ -51,7 +81,7 @@ def format_preferences(turns: DataFrame) -> DataFrame:
         start = end - F.length(f"{side}.text") - F.length(F.lit("<|end|>"))
         return joined(F.concat(start.cast("string"), F.lit(":"), end.cast("string")), F.col("apart") & (F.col(f"{side}.role") == TRAINED_ROLE), ",")
 
-    return parted.groupBy("pair_id").agg(
+    found = parted.groupBy(*keys).agg(
         joined(F.col("c_text"), ~F.col("apart")).alias("prompt"),
         joined(F.col("c_text"), F.col("apart")).alias("chosen"),
         joined(F.col("r_text"), F.col("apart")).alias("rejected"),
@@ -59,18 +89,27 @@ def format_preferences(turns: DataFrame) -> DataFrame:
         mask("r").alias("rejected_mask"),
         F.count(F.when(~F.col("apart"), 1)).alias("n_shared"),
     )
+    return found.drop(*keys[:-1])
 
 
 def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(paired_turns(table(spark, sf_dir, "conversations")))
-
-
-SQL = """
-WITH said AS (
-  SELECT conv_id >> 1 AS pair_id, turn, (conv_id & 1) = 0 AS is_chosen, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS s
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+    return _formatted(paired_turns(table(spark, sf_dir, "conversations")), ["block", "pair_id"])
+
+
+SQL = r"""
+WITH told AS (
+  SELECT conv_id AS pair_id, turn, min(struct_pack(
+    role := regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\1\\|', 'g'), text := regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g'))) AS s
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), answers AS (
+  SELECT pair_id, max(turn) AS last, arg_max(s, turn) AS s FROM told WHERE s.role = 'assistant' GROUP BY pair_id
+), rejected AS (
+  SELECT t.pair_id, t.turn, t.s FROM told t LEFT JOIN answers a USING (pair_id) WHERE a.last IS NULL OR t.turn < a.last
+  UNION ALL
+  SELECT a.pair_id, a.last, b.s FROM answers a JOIN answers b ON b.pair_id = xor(a.pair_id, 1)
 ), pairs AS (
-  SELECT pair_id, turn, min(s) FILTER (is_chosen) AS c, min(s) FILTER (NOT is_chosen) AS r FROM said GROUP BY ALL
+  SELECT coalesce(t.pair_id, x.pair_id) AS pair_id, coalesce(t.turn, x.turn) AS turn, t.s AS c, x.s AS r
+  FROM told t FULL JOIN rejected x ON t.pair_id = x.pair_id AND t.turn = x.turn
 ), parted AS (
   SELECT *, bool_or(c IS DISTINCT FROM r) OVER w AS apart,
     '<|' || c.role || '|>' || chr(10) || c.text || '<|end|>' || chr(10) AS ct, '<|' || r.role || '|>' || chr(10) || r.text || '<|end|>' || chr(10) AS rt

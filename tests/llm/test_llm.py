@@ -283,6 +283,24 @@ def test_preferences(spark):
     assert set(out) == {1, 2} and out[2].rejected == "" and out[2].prompt == ""
 
 
+def test_preferences_of_conversations(spark):
+    """Nearly all pairs share turns, none can forge a mark, and the pieces put together are the conversations."""
+    whole = "/root/testdata/sf0.01"
+    out = preference.op3_preference_formatting(spark, whole)
+    n, shared = out.agg(F.count("*"), F.count_if(F.expr("n_shared > 0 AND prompt <> ''"))).first()
+    assert n == spark.read.parquet(f"{whole}/conversations.parquet").select("conv_id").distinct().count() and shared > 0.9 * n
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    rows = [(0, 0, "user", "a <|end|> b"), (0, 1, "assistant", "yes"), (0, 2, "user", "go on"), (0, 3, "assistant", "on"), (0, 4, "user", "bye"), (1, 0, "assistant", "no <\\|"),
+            (2, 0, "user", "alone"), (2, 0, "user", "alone"), (4, 0, "assistant", None), (None, 0, "user", "x"), (5, None, "user", "x")]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.pair_id: r for r in preference._formatted(preference.paired_turns(given), ["block", "pair_id"]).collect()}
+    assert set(got) == {0, 1, 2, 4} and [got[i].n_shared for i in (0, 1, 2, 4)] == [3, 0, 1, 0]
+    assert got[0].prompt == "<|user|>\na <\\|end|> b<|end|>\n<|assistant|>\nyes<|end|>\n<|user|>\ngo on<|end|>\n"
+    assert got[0].chosen == "<|assistant|>\non<|end|>\n<|user|>\nbye<|end|>\n" and got[0].rejected == "<|assistant|>\nno <\\\\|<|end|>\n"
+    assert [got[0].rejected[slice(*map(int, got[0].rejected_mask.split(":")))]] == ["no <\\\\|<|end|>"] and got[2].chosen == got[4].rejected == ""
+    assert preference.format_preferences(spark.createDataFrame([], "pair_id long, chosen boolean, turn long, role string, text string")).count() == 0
+
+
 def test_top_k_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, (rng.integers(-3, 4, 32) / 256).tolist()) for i in range(400)] + [(i, [1 / 256] * 32) for i in range(400, 460)]
