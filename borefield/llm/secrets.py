@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -18,18 +19,26 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-#: A name, an assignment sign and a value: a quoted string or a bare word. Names start where no name goes on.
-_PAIR = re.compile(
-    r"""(?<![\w.$-])([A-Za-z_$][\w.$-]*)["']?[ \t]*(?::=|=>|=|:)[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"'#;,(){}\[\]<>]+))""",
-    re.ASCII,
+#: What the lexer stops at: a comment to the line's end; an element with a value; a target and its assignment sign. A target is a name, an
+#: attribute or a quoted key, perhaps with a subscript or a type behind it; names start where no name goes on.
+_STOP = re.compile(
+    r"""(?:^|(?<=\s))(?P<comment>\#|//)
+    |<(?P<element>[A-Za-z_][\w.-]*)>(?=(?P<body>[^<>\s]+)</(?P=element)>)
+    |(?<![\w.$-])(?P<name>[A-Za-z_$][\w.$-]*)(?:\[["'](?P<key>[\w.$-]+)["']\])?["']?[ \t]*(?P<sign>:=|=>|:[ \t]*[A-Za-z_][\w.]*(?:\[[\w., ]*\])?[ \t]*=(?![=>])|=(?![=>])|:(?!:))[ \t]*""",
+    re.ASCII | re.MULTILINE | re.VERBOSE,
 )
-_JOIN = re.compile(r"""[ \t]*[+.]?[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')""")
-_NAME = re.compile(r"[A-Za-z_$][\w.$-]*", re.ASCII)
+_STRING = re.compile(r"""[rRbBuUfF]{0,2}(?:"(?!"")((?:[^"\\\n]|\\.)*)"|'(?!'')((?:[^'\\\n]|\\.)*)')""")
+_TRIPLE = re.compile(r"""[rRbBuUfF]{0,2}(\"{3}|'{3})""")
+_PLUS = re.compile(r"""[ \t]*[+.]?[ \t]*(?=[rRbBuUfF]{0,2}["'])""")
+#: A bare word is a value only where a line of configuration has nothing else: the target begins the line and the word ends it.
+_BARE = re.compile(r"""([^\s"'#;,(){}\[\]<>]+)(?=[ \t]*(?:[;,][ \t]*)?(?:$|[ \t]\#|[ \t]//))""", re.MULTILINE)
+_BEFORE = re.compile(r"[ \t]*(?:-[ \t]+|export[ \t]+|set[ \t]+|[{,][ \t]*)?[\"']?")
+_NAME = re.compile(r"[A-Za-z_$][\w$-]*(?:\.[A-Za-z_$][\w$-]*)*", re.ASCII)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[^A-Za-z0-9]+")
 
 #: Words of a target's name and what each adds to the score of its literal.
 SENSITIVE = {
-    "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0,
+    "password": 3.0, "passwd": 3.0, "pwd": 3.0, "pass": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0,
     "credential": 2.5, "credentials": 2.5, "private": 1.5, "auth": 1.5, "access": 1.0, "key": 1.5, "signature": 1.0, "salt": 1.0,
 }
 _PLACEHOLDER = re.compile(r"(?:changeme|example|placeholder|your[-_]|<|\$\{|\{\{|none$|null$|true$|false$|x{4,}|\*{3,})", re.IGNORECASE)
@@ -51,25 +60,86 @@ def literal_score(value: str) -> float:
     return min(bits / 2, 2.0) + 0.5 * (kinds - 1) + (0.5 if n >= 16 else 0.0)
 
 
-def literals(text: str) -> list[tuple[str, int, int]]:
-    """Spans of literals that reach a sensitive name: directly, joined from parts, or through constants."""
-    known: dict[str, tuple[str, int, int]] = {}
+def _closers(text: str) -> dict[str, list[int]]:
+    """Where each kind of triple quote stands."""
+    out: dict[str, list[int]] = {'"' * 3: [], "'" * 3: []}
+    for m in re.finditer(r"\"{3}|'{3}", text):
+        out[m[0]].append(m.start())
+    return out
+
+
+def _value(text: str, at: int, closers: dict[str, list[int]]) -> tuple[str, int, int] | None:
+    """The string literal at `at`, joined with those added to it: (value, start, end); quotes within count, one part alone has none."""
+    value, start, end = "", -1, at
+    while True:
+        if m := _TRIPLE.match(text, at):
+            places = closers[m[1]]
+            k = bisect_left(places, m.end())
+            if k == len(places):
+                break
+            inner = text[m.end() : places[k]]
+            first, past = m.end() + len(inner) - len(inner.lstrip()), m.end() + len(inner.rstrip())
+            part, after = inner.strip(), places[k] + 3
+        elif m := _STRING.match(text, at):
+            group = 1 if m[1] is not None else 2
+            part, first, past, after = m[group], m.start(group), m.end(group), m.end()
+        else:
+            break
+        value, start, end = value + part, first if start < 0 else start, max(past, first) if start < 0 else after
+        if not (more := _PLUS.match(text, after)):
+            break
+        at = more.end()
+    return (value, start, end) if start >= 0 else None
+
+
+def literals(text: str) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score) of literals that reach a sensitive name: directly, joined from parts, or through constants.
+
+    Only string literals count, and in lines of configuration and in elements bare words; names, calls, attributes and
+    subscripts on the right are no literals. A constant reaches targets until a line that is indented less than its own; what is
+    in a comment reaches no code. The score adds the target's name and the literal's shape.
+    """
     found: dict[tuple[int, int], float] = {}
-    for m in _PAIR.finditer(text):
-        group = next(i for i in (2, 3, 4) if m[i] is not None)
-        value, start, end = m[group], m.start(group), m.end(group)
-        if group < 4:
-            at = m.end()
-            while (more := _JOIN.match(text, at)) and (more[0].lstrip()[:1] in "+." and more[0].strip()):
-                value += more[1] if more[1] is not None else more[2]
-                at = end = more.end()
-        elif _NAME.fullmatch(value) and value in known:
-            value, start, end = known[value]  # the target takes a constant's literal
-        known[m[1]] = value, start, end
-        rank = name_score(m[1])
-        if rank and rank + literal_score(value) >= THRESHOLD:
-            found[start, end] = 1.0
-    return [("literal", *span) for span in found]
+    known: dict[str, tuple[int, tuple[str, int, int]]] = {}
+    closers = _closers(text)
+
+    def reach(name: str, literal: tuple[str, int, int]) -> None:
+        value, start, end = literal
+        rank = name_score(name)
+        if rank and (score := rank + literal_score(value)) >= THRESHOLD:
+            found[start, end] = max(score, found.get((start, end), score))
+
+    at = 0
+    while m := _STOP.search(text, at):
+        at = m.end()
+        if m["comment"]:
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            for _, a, b, score in literals(text[at:end]) if "=" in text[at:end] or ":" in text[at:end] else ():
+                found[at + a, at + b] = score
+            at = end
+            continue
+        if m["element"]:
+            reach(m["element"], (m["body"], at, at + len(m["body"])))
+            continue
+        line = text.rfind("\n", 0, m.start()) + 1
+        before = text[line : m.start()] if m.start() - line < 200 else "x"
+        indent = len(before) - len(before.lstrip())
+        known = {k: v for k, v in known.items() if v[0] <= indent} if known and before.isspace() | (not before) else known
+        literal = _value(text, at, closers)
+        if literal is None and (bare := _BARE.match(text, at)):
+            word = bare[1]
+            if _NAME.fullmatch(word) and word in known:
+                literal = known[word][1]  # the target takes a constant's literal
+            elif _BEFORE.fullmatch(before) and not (_NAME.fullmatch(word) and "." in word):
+                literal = word, bare.start(1), bare.end(1)
+        elif literal is None and (name := _NAME.match(text, at)) and name[0] in known and text[name.end() : name.end() + 1] in ("", "\n", " ", ",", ")", ";"):
+            literal = known[name[0]][1]
+        if literal:
+            known[m["name"]] = indent, literal
+            reach(m["key"] or m["name"], literal)
+            at = max(at, literal[2])
+    return [("literal", *span, score) for span, score in found.items()]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -96,14 +166,15 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "<SECRET>")
 
 
 def scan(text: str) -> tuple[list, list]:
-    """(base spans, spans the lexer adds); offsets are code points, ends exclusive."""
-    return base_spans(text), literals(text) if "=" in text or ":" in text else []
+    """(base spans, spans the lexer adds with their scores); offsets are code points, ends exclusive."""
+    return base_spans(text), literals(text) if "=" in text or ":" in text or "</" in text else []
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """Counts by kind, a digest of the base spans and all spans; one row for each row of `docs`, map-only.
 
-    Null and empty texts have no spans; repeated rows are scanned each; other columns are ignored.
+    `literal_scores` are those of the literal spans, in their order. Null and empty texts have no spans; repeated rows are
+    scanned each; other columns are ignored.
     """
 
     def run(batches):
@@ -114,15 +185,16 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                     base, more = scan(text)
                     kinds = Counter(s[0] for s in base)
                     digest = hashlib.sha256(_join(base).encode()).hexdigest()
-                    rows.append((kinds["assign"], kinds["access"], kinds["hex"], digest, _join(base + more)))
+                    scores = [round(score, 3) for *_, score in sorted(more, key=lambda x: x[1:3])]
+                    rows.append((kinds["assign"], kinds["access"], kinds["hex"], digest, _join(base + [x[:3] for x in more]), scores))
                 columns = list(zip(*rows, strict=True))
-                types = [pa.int64()] * 3 + [pa.string()] * 2
+                types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.list_(pa.float64())]
                 yield pa.record_batch(
                     [part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                    ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                    ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "literal_scores"],
                 )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return id_text(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, literal_scores array<double>")
 
 
 def redact_secrets(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
@@ -133,7 +205,7 @@ def redact_secrets(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch):
-                texts = [t if t is None else redact(t, [s for found in scan(t) for s in found], mark) for t in part.column("text").to_pylist()]
+                texts = [t if t is None else redact(t, [s[:3] for found in scan(t) for s in found], mark) for t in part.column("text").to_pylist()]
                 columns = dict(zip(names, part.columns, strict=True))
                 columns["text"] = pa.array(texts, pa.string())
                 if "n_chars" in columns:

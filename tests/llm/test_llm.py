@@ -144,11 +144,48 @@ def test_secrets(spark, texts, odd):
 
 def test_assignments_are_followed():
     text = 'K = "Zx81+qWe77rTy"\nname = "plain words"\nAuthToken := K\nprivate_key: \'abC9\' + \'dEf8gHi7\'\npassword = "changeme-please"\n'
-    found = {text[a:b] for _, a, b in secrets.literals(text)}
+    found = {text[a:b] for _, a, b, _ in secrets.literals(text)}
     assert found == {"Zx81+qWe77rTy", "abC9' + 'dEf8gHi7'"}
     assert secrets.redact("a token=abcdefghijkl b", secrets.base_spans("a token=abcdefghijkl b")) == "a <SECRET> b"
 
 
+CODE = """
+password = os.environ["DB_PASSWORD_MAIN_1"]
+token = get_token_from_Vault9(x)
+secret = config.Secret_Token_9
+db_pass="Hunter2Hunter2!"
+PASSWORD = '''
+  Tr1ple-Quoted-9x
+'''
+if password == "Compared9Not2Set":
+def connect(user, password: str = "Typed9Default2x", port=1):
+    inner = "Scoped77Value9x"
+    self.settings["auth_token"] = inner
+outside_token = inner
+fine = "Not9Sensitive2At3All"
+# api_key = "InA9Comment2x7"
+<password>In9Element2x</password>
+{"clientSecret": "Json9Secret2x", "note": "a: b"}
+export API_TOKEN=Bare9Word2xyz
+- private_key: Yaml9Bare2xyz  # note
+joined_secret = b"Part9a" "Part2b" + 'xY7'
+token: word
+"""
+
+
+def test_the_lexer_knows_what_is_a_literal():
+    found = {CODE[a:b]: score for _, a, b, score in secrets.literals(CODE)}
+    assert set(found) == {
+        "Hunter2Hunter2!", "Tr1ple-Quoted-9x", "Typed9Default2x", "Scoped77Value9x", "InA9Comment2x7", "In9Element2x", "Json9Secret2x",
+        "Bare9Word2xyz", "Yaml9Bare2xyz", """Part9a" "Part2b" + 'xY7'""",
+    }
+    assert all(score >= secrets.THRESHOLD for score in found.values())
+    kept = secrets.redact(CODE, [s[:3] for s in secrets.literals(CODE)])
+    assert all(line in kept for line in CODE.splitlines()[1:4])
+    for text in ('x = """' * 20_000, "a='" * 50_000, "password=" * 50_000, "# " * 100_000, "<a>" * 50_000, " " * 300_000 + "="):
+        assert len(secrets.literals(text)) < 50_001  # and soon
+
+
 # 9 and 10
 
 
