@@ -37,11 +37,19 @@ def summaries(x: np.ndarray, parts: int) -> np.ndarray:
     return np.stack(out, 1) if out else np.zeros((len(x), 1))
 
 
-def best_in_block(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vec_id, score) of each query's k best of the block, ties to smaller ids, its own id left out."""
+def best_in_block(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query id, vec_id, score) of each query's k best of the block, ties to smaller ids, its own id left out.
+
+    `least` are scores that k candidates of a query are known to reach, so lower ones aren't looked for. A score that
+    leaves 64 bits is an OverflowError, never a wrong number.
+    """
     order = np.argsort(ids, kind="stable")
     v, ids = v[order], ids[order]
     best = np.full((len(q), k), -np.inf)
+    if least is not None:
+        best[:] = (np.nextafter(least, -np.inf) - 1e-15 * np.abs(least))[:, None]
+    if max(np.abs(q).max(initial=0.0), np.abs(v).max(initial=0.0)) >= 2.0**63:
+        raise OverflowError("a component leaves 64 bits")
     kept: list[list[tuple[float, int]]] = [[] for _ in q]
     exact = lambda a: float(np.abs(a).max(initial=0.0))
     small = exact(q) * exact(v) * max(v.shape[1], 1) < 2**52  # doubles hold every sum exactly
@@ -51,7 +59,7 @@ def best_in_block(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarr
         end = min(at + CHUNK, len(v))
         floor = best[:, -1]
         live = np.ones((len(q), end - at), bool)
-        if at:
+        if at or least is not None:
             for level, (a, b) in enumerate(coarse):
                 if level == 0:
                     live = a @ b[at:end].T + slack[:, None] > floor[:, None]
@@ -65,7 +73,11 @@ def best_in_block(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarr
         if not len(rows):
             continue
         if not small:
-            scores = (q[rows].astype(np.int64) * v[at + columns].astype(np.int64)).sum(1)
+            about = np.einsum("ij,ij->i", q[rows], v[at + columns])
+            if (np.abs(about) >= 2.0**63 * (1 - 1e-9)).any():
+                raise OverflowError("an inner product leaves 64 bits")
+            with np.errstate(over="ignore"):  # sums modulo 2**64 are right where the whole sum fits
+                scores = (q[rows].astype(np.int64) * v[at + columns].astype(np.int64)).sum(1)
         elif len(rows) > 0.1 * live.size:
             scores = (q @ v[at:end].T)[rows, columns]
         else:
@@ -79,7 +91,8 @@ def best_in_block(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarr
             merged = kept[i] + [(scores[s + t], int(ids[at + columns[s + t]])) for t in top]
             merged.sort(key=lambda p: (-p[0], p[1]))
             kept[i] = merged[:k]
-            best[i, : len(kept[i])] = [float(p[0]) if small else float(p[0]) - 1e-15 * abs(float(p[0])) for p in kept[i]]
+            if len(kept[i]) == k:
+                best[i] = [float(p[0]) if small else float(p[0]) - 1e-15 * abs(float(p[0])) for p in kept[i]]
     return [(int(q_ids[i]), vec_id, int(score)) for i, found in enumerate(kept) for score, vec_id in found]
 
 
@@ -88,7 +101,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     `vectors` is (vec_id, v array<double> of whole numbers). Rows with the query's vec_id are its own; repeated
     ids among candidates count each. Vectors of another length than the query's don't take part for it. Query groups and
-    candidate groups meet in a grid of tasks of bounded size, each row copied to one row or column of the grid.
+    candidate groups meet in a grid of tasks of bounded size, each row copied to one row or column of the grid. Before that, every query
+    meets one block of candidates alone, and its k-th best score there bounds what is looked for everywhere.
     """
     n, m = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     spark = vectors.sparkSession
@@ -97,8 +111,9 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     sized = vectors.withColumn("dim", F.size("v"))
     grid = lambda count: F.sequence(F.lit(0), F.lit(count - 1))
     spot = lambda count: F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int")
-    left = sized.where(is_query).select("dim", "vec_id", "v", spot(down).alias("h"), F.explode(grid(across)).alias("g"))
-    right = sized.select("dim", "vec_id", "v", spot(across).alias("g"), F.explode(grid(down)).alias("h"))
+    queries = sized.where(is_query).select("dim", "vec_id", "v", spot(down).alias("h"))
+    fresh = [F.col(c).alias(c) for c in ("dim", "vec_id", "v")]  # told apart from the queries' columns
+    spread = sized.select(*fresh, spot(across).alias("g"), F.explode(grid(down)).alias("h"))
 
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -107,12 +122,18 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     def meet(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         found = []
         if queries.num_rows and candidates.num_rows:
-            found = best_in_block(*matrix(queries), *matrix(candidates), k)
+            least = queries.column("least").to_numpy() if "least" in queries.column_names else None
+            found = best_in_block(*matrix(queries), *matrix(candidates), k, least)
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
-    keys = ("dim", "g", "h")
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
+    keys, schema = ("dim", "g", "h"), "query_id long, vec_id long, score long"
+    first_block = F.pmod(F.xxhash64("v", "vec_id"), F.lit(max(1, math.ceil(n / CHUNK)))) == 0
+    near = queries.withColumn("g", F.lit(0)).groupBy(*keys).cogroup(spread.where(first_block).withColumn("g", F.lit(0)).groupBy(*keys)).applyInArrow(meet, schema)
+    reached = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") == k)
+    known = queries.join(reached.drop("n"), "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    left = known.select("dim", "vec_id", "v", "least", "h", F.explode(grid(across)).alias("g"))
+    pairs = left.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
