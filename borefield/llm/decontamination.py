@@ -21,7 +21,9 @@ from .common import by_bytes, id_text, table
 
 #: Together these hit every 13 words of which any two are substituted (found by trying all masks of six words).
 MASKS = ("11101011", "11001111")
-WINDOW, SIMILARITY, SHORTEST = 13, 0.8, 5
+WINDOW, SIMILARITY = 13, 0.8
+#: Hits whose diagonals are told apart at once.
+HITS = 1 << 20
 #: Benchmark words that meet the documents in one pass; a larger benchmark takes more passes over them.
 BLOCK_WORDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -54,7 +56,7 @@ class Seeded:
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, similarity: float = SIMILARITY):
         self.window, self.similarity = window, similarity
-        self.items = [(i, w) for i, text in items if len(w := word_hashes(text or "")) >= SHORTEST]
+        self.items = [(i, w) for i, text in items if len(w := word_hashes(text or ""))]
         self.masks: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         short = {self._run(len(w)) for _, w in self.items if len(w) < window}
         for mask in [*MASKS, *("1" * k for k in sorted(short))]:
@@ -79,16 +81,24 @@ class Seeded:
     def overlaps(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, first word, word after the last, words that agree) for the best verified diagonal of each item."""
         words = word_hashes(text)
-        met: set[tuple[int, int]] = set()
+        met: set[int] = set()
         for mask, hashes, item, at, seen in self.masks:
             h = seeds(words, mask)
             places = np.flatnonzero(seen[h >> np.uint64(64 - _TABLE)])
             low = np.searchsorted(hashes, h[places], "left")
             high = np.searchsorted(hashes, h[places], "right")
-            for p, a, b in zip(places[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                met.update((int(item[x]), p - int(at[x])) for x in range(a, b))
+            # A repeated seed has many hits on few diagonals: each block of hits is reduced to its diagonals.
+            p, a, n = places[high > low], low[high > low], (high - low)[high > low]
+            if not len(n):
+                continue
+            cut = np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1
+            for first, past in zip([0, *cut.tolist()], [*cut.tolist(), len(n)], strict=True):
+                k = n[first:past]
+                x = np.repeat(a[first:past] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+                met.update(np.unique((item[x] << 33) + (np.repeat(p[first:past], k) - at[x]) + (1 << 32)).tolist())
         best: dict[int, tuple[int, int, int]] = {}
-        for j, shift in sorted(met):
+        for code in sorted(met):
+            j, shift = code >> 33, (code & ((1 << 33) - 1)) - (1 << 32)
             own = self.items[j][1]
             first, past = max(0, -shift), min(len(own), len(words) - shift)
             size = min(self.window, len(own))
@@ -117,8 +127,8 @@ def seeded_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Itera
 def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, n_same, similarity): a row for each document and item that overlap.
 
-    Map-only over documents, once for each block of the benchmark. Items under SHORTEST words can't tell
-    anything and are left out; items under WINDOW words must agree as wholes. Null and empty texts overlap nothing;
+    Map-only over documents, once for each block of the benchmark. Items under WINDOW words must agree as wholes, but for a
+    fifth of their words, so one of up to four words must be there as it is. Null and empty texts overlap nothing;
     repeated rows are reported each; an empty benchmark gives no rows.
     """
     out = None

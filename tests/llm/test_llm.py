@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -229,6 +230,19 @@ def test_no_link_is_lost(spark):
     assert got == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3}
 
 
+@pytest.mark.parametrize("crowd", [4, 256])
+def test_dense_balls(spark, monkeypatch, crowd):
+    """Split anchors lose no link, and what is emitted of a dense ball grows with its members."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    base = 0x1234_5678_9ABC_DEF0
+    values = sorted({base ^ (1 << i) ^ (1 << j) for i in range(60) for j in range(0, i + 1, 3)} | {base ^ (1 << i) ^ (1 << (i + 1)) ^ 7 << 50 for i in range(40)})
+    df = spark.createDataFrame([(v,) for v in values], "fp long").repartition(4)
+    near = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3}
+    assert {(r.a, r.b) for r in simhash.links(df).collect()} == near and len(near) > 3 * len(values)
+    some = [(r.a, r.b) for r in simhash.representative_links(df).collect()]
+    assert closure(some, values) == closure(near, values) and set(some) <= near
+
+
 def test_long_chains_are_one_component(spark):
     edges = [(i, i + 1) for i in range(0, 90)] + [(1000, 1001)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -307,6 +321,21 @@ def test_substitutions_are_tolerated(spark, odd):
     assert decontamination.find_contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_repeated_seeds(spark):
+    """Items of two words and of one; equal words throughout; several blocks of the benchmark against one."""
+    rows = [(1, "two words"), (2, "same " * 400), (3, "single"), (4, "one of six words changed here"), (5, "")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    texts = {1: "here are two words and", 2: "same " * 20_000, 3: "two other words", 4: "a single one", 5: "one of six others changed here", 6: "one of six others altered here"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    one = {(r.doc_id, r.item_id) for r in decontamination.find_contaminated(docs, bench).collect()}
+    assert one == {(1, 1), (2, 2), (4, 3), (5, 4)}
+    blocks = list(decontamination.seeded_blocks(bench, 100))
+    assert len(blocks) > 2 and {(d, r[0]) for b in blocks for d, t in texts.items() for r in b.overlaps(t)} == one
+    block = decontamination.Seeded([(2, "same " * 400)])
+    start = time.process_time()
+    assert len(list(block.overlaps("same " * 20_000))) == 1 and time.process_time() - start < 5
+
+
 # 3 and 8
 
 
@@ -352,6 +381,27 @@ def test_top_k_ties_and_odd_vectors(spark):
         assert got[q] == [(i, -s) for s, i in best]
 
 
+def test_products_beyond_64_bits_are_errors():
+    ids, x = np.arange(3), np.full((3, 4), 2.0**30)
+    assert topk.best_in_block(x[:1], ids[:1], x, ids, 2) == [(0, 1, 2**62), (0, 2, 2**62)]
+    mixed = np.array([[2.0**32, 2.0**32, 1.0], [2.0**32, -(2.0**32), 5.0], [0.0, 3.0, 0.0]])  # each product fits, not each partial sum
+    assert topk.best_in_block(mixed[:1], ids[:1], mixed, ids, 2) == [(0, 2, 3 * 2**32), (0, 1, 5)]
+    for big in (2.0**32, 2.0**70):
+        with pytest.raises(OverflowError):
+            topk.best_in_block(np.full((1, 4), big), ids[:1], np.full((3, 4), big), ids, 2)
+
+
+def test_known_scores_prune_and_lose_nothing():
+    rng = np.random.default_rng(9)
+    v = np.repeat(rng.integers(-9, 10, (500, 4)), 16, axis=1).astype(float) + rng.integers(0, 2, (500, 64))
+    ids, q, q_ids = np.arange(500), v[:20], np.arange(20)
+    plain = sorted(topk.best_in_block(q, q_ids, v, ids, 5))
+    least = np.array([min(s for i, _, s in plain if i == j) for j in range(20)], float)
+    assert sorted(topk.best_in_block(q, q_ids, v, ids, 5, least)) == plain
+    a, b = topk.summaries(q, 4), topk.summaries(v, 4)
+    assert ((a @ b.T > least[:, None]).mean() < 0.2) and (a @ b.T >= q @ v.T - 1e-6).all()
+
+
 # 1 and 7
 
 
