@@ -12,13 +12,24 @@ from .levels import BASES, KNOWN, MISSING
 from .trends import CLASSES
 
 
-def _broken(df: DataFrame, rule: str, key: str, holds: Column, detail: Column) -> DataFrame:
-    """Rows where the rule is false; unknown passes, as in SQL."""
-    return df.where(~F.coalesce(holds, F.lit(True))).select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), detail.cast("string").alias("detail"))
+Rule = tuple[str, Column, Column]
 
 
-def _null(df: DataFrame, table: str, key: str, *columns: str) -> list[DataFrame]:
-    return [_broken(df, f"{table}.{c}.not_null", key, F.col(c).isNotNull(), F.lit("null")) for c in columns if c in df.columns]
+def _rows(df: DataFrame, key: str, *rules: Rule) -> DataFrame:
+    """(rule, key, detail) of each row and rule that is false there; unknown passes, as in SQL. One pass for all rules."""
+    broken = F.array(*(F.when(~F.coalesce(holds, F.lit(True)), F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, holds, detail in rules))
+    found = df.select(F.col(key).cast("string").alias("key"), F.explode(F.array_compact(broken)).alias("x"))
+    return found.select("x.rule", "key", "x.detail")
+
+
+def _null(df: DataFrame, table: str, *columns: str) -> list[Rule]:
+    """A rule for each of `columns` that the table has."""
+    return [(f"{table}.{c}.not_null", F.col(c).isNotNull(), F.lit("null")) for c in columns if c in df.columns]
+
+
+def _srid(df: DataFrame, table: str) -> list[Rule]:
+    """The grid's code, on rows that have one; a null is the not-null rule's."""
+    return [(f"{table}.srid", F.col("srid") == GRID_SRID, F.col("srid"))] if "srid" in df.columns else []
 
 
 def _twice(df: DataFrame, rule: str, *key: str) -> DataFrame:
@@ -32,28 +43,31 @@ def _orphans(df: DataFrame, rule: str, parents: DataFrame) -> DataFrame:
     return lost.select(F.lit(rule).alias("rule"), F.col("bore_id").cast("string").alias("key"), F.col("n").cast("string").alias("detail"))
 
 
+#: Columns that may not be null, beside the keys. Tables in the making need not have all of them yet.
+PROVENANCE = ("source_file", "source_crs", "loaded_at")
+COUNTED = ("n_observations", "n_months_present", "span_years", "distinct_years", "gap_fraction", "longest_gap_months", "deseasonalised", "computed_at")
+
+
 def check_bores(bores: DataFrame) -> DataFrame:
+    """A point, its code, the datum flag and where the row is from are there, the flag is known and agrees with the collar, and keys are unique."""
     status, collar = F.col("datum_status"), F.col("collar_rl_m_ahd")
     agrees = ((status == KNOWN) & collar.isNotNull()) | ((status == MISSING) & collar.isNull())
-    found = [
-        _twice(bores, "bore.primary_key", "bore_id"),
-        *_null(bores, "bore", "bore_id", "bore_id", "datum_status"),
-        _broken(bores, "bore.datum_status", "bore_id", status.isin(KNOWN, MISSING), status),
-        _broken(bores, "bore.datum_status_agrees", "bore_id", agrees, status),
+    rules = [
+        *_null(bores, "bore", "bore_id", "x", "y", "srid", "datum_status", *PROVENANCE),
+        ("bore.datum_status", status.isin(KNOWN, MISSING), status),
+        ("bore.datum_status_agrees", agrees, status),
+        *_srid(bores, "bore"),
     ]
-    if "srid" in bores.columns:
-        found.append(_broken(bores, "bore.srid", "bore_id", F.col("srid") == GRID_SRID, F.col("srid")))
-    return reduce(DataFrame.unionByName, found)
+    return _twice(bores, "bore.primary_key", "bore_id").unionByName(_rows(bores, "bore_id", *rules))
 
 
 def check_readings(readings: DataFrame, bores: DataFrame) -> DataFrame:
     something = F.col("depth_to_water_m").isNotNull() | F.col("level_m_ahd").isNotNull()
-    found = [
-        _twice(readings, "water_level.unique", "bore_id", "observed_at"),
-        *_null(readings, "water_level", "bore_id", "bore_id", "observed_at"),
-        _broken(readings, "water_level.depth_or_level", "bore_id", something, F.col("observed_at")),
-        _orphans(readings, "water_level.foreign_key", bores),
+    rules = [
+        *_null(readings, "water_level", "bore_id", "observed_at", "source_file", "loaded_at"),
+        ("water_level.depth_or_level", something, F.col("observed_at")),
     ]
+    found = [_twice(readings, "water_level.unique", "bore_id", "observed_at"), _rows(readings, "bore_id", *rules), _orphans(readings, "water_level.foreign_key", bores)]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -61,12 +75,27 @@ def check_trends(trends: DataFrame, bores: DataFrame) -> DataFrame:
     kind, reason, p, slope = (F.col(c) for c in ("trend_class", "insufficient_reason", "p_value", "sens_slope_m_per_year"))
     none = kind == CLASSES[3]
     whole = (none & reason.isNotNull() & p.isNull() & slope.isNull()) | (~none & reason.isNull() & p.isNotNull())
-    found = [
-        _twice(trends, "bore_trend.primary_key", "bore_id"),
-        *_null(trends, "bore_trend", "bore_id", "bore_id", "basis", "trend_class"),
-        _broken(trends, "bore_trend.trend_class", "bore_id", kind.isin(*CLASSES), kind),
-        _broken(trends, "bore_trend.basis", "bore_id", F.col("basis").isin(*BASES), F.col("basis")),
-        _broken(trends, "bore_trend.statistics", "bore_id", whole, kind),
-        _orphans(trends, "bore_trend.foreign_key", bores),
+    rules = [
+        *_null(trends, "bore_trend", "bore_id", "basis", "trend_class", *COUNTED),
+        ("bore_trend.trend_class", kind.isin(*CLASSES), kind),
+        ("bore_trend.basis", F.col("basis").isin(*BASES), F.col("basis")),
+        ("bore_trend.statistics", whole, kind),
     ]
+    found = [_twice(trends, "bore_trend.primary_key", "bore_id"), _rows(trends, "bore_id", *rules), _orphans(trends, "bore_trend.foreign_key", bores)]
     return reduce(DataFrame.unionByName, found)
+
+
+def check_areas(areas: DataFrame, table: str, key: str, geometry: bool) -> DataFrame:
+    """Districts (`geometry`: a shape is demanded) and licences: unique keys, the grid's code on each shape, where rows are from."""
+    needed = ("name", "geom") if geometry else ()
+    on_grid = F.col("geom").isNull() | F.coalesce(F.col("srid") == GRID_SRID, F.lit(False))
+    rules = [*_null(areas, table, key, *needed, *PROVENANCE), (f"{table}.srid", on_grid, F.coalesce(F.col("srid").cast("string"), F.lit("null")))]
+    return _twice(areas, f"{table}.primary_key", key).unionByName(_rows(areas, key, *rules))
+
+
+def check_districts(areas: DataFrame) -> DataFrame:
+    return check_areas(areas, "wcd_boundary", "wcd_id", geometry=True)
+
+
+def check_licences(areas: DataFrame) -> DataFrame:
+    return check_areas(areas, "licence", "licence_id", geometry=False)
