@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# How a date with slashes or dashes looks.
 _DATE = r"^\s*(\d{1,4})[/-](\d{1,2})[/-](\d{1,4})"
-_JAVA = {"%d": "d", "%m": "M", "%Y": "y", "%H": "H", "%M": "m", "%S": "s", "%y": "yy"}
+#: Directives and Spark's letters for them; whatever else a format holds stands for itself.
+_JAVA = {
+    "%d": "d", "%m": "M", "%Y": "yyyy", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%j": "D", "%H": "H", "%I": "h", "%p": "a", "%M": "m", "%S": "s",
+    "%f": "SSSSSS", "%%": "%",
+}
 
 
 class AmbiguousDatesError(ValueError):
@@ -50,10 +57,23 @@ def require_unambiguous_dates(df: DataFrame, declared: dict[str, str]) -> None:
             raise AmbiguousDatesError(f"day and month can't be told apart in {', '.join(bad)}; declare their formats")
 
 
+class DateFormatError(ValueError):
+    """A declared format that can't be read."""
+
+
 def java_pattern(strptime: str) -> str:
-    for code, letter in _JAVA.items():
-        strptime = strptime.replace(code, letter if code != "%Y" else "yyyy")
-    return strptime
+    """A strptime format as Spark's; letters that are no directive are quoted, a directive that isn't known raises."""
+    parts, out = re.findall(r"%.?|[^%]+", strptime), []
+    for i, part in enumerate(parts):
+        if part[0] == "%":
+            if part not in _JAVA:
+                raise DateFormatError(f"{part} in {strptime} isn't known; known are {' '.join(_JAVA)}")
+            # Numbers without anything between them have two digits each.
+            touching = any(x[0] == "%" for x in parts[max(i - 1, 0) : i] + parts[i + 1 : i + 2])
+            out.append(_JAVA[part] * 2 if touching and part in ("%d", "%m", "%H", "%I", "%M", "%S") else _JAVA[part])
+        else:
+            out.append("'" + part.replace("'", "''") + "'" if re.search(r"[A-Za-z'\[\]#{}]", part) else part)
+    return "".join(out)
 
 
 def parse_dates(df: DataFrame, formats: dict[str, str]) -> DataFrame:

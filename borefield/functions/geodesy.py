@@ -114,7 +114,8 @@ def require_known_crs(points: DataFrame, nodes: DataFrame | None) -> None:
 def to_grid_xy(points: DataFrame, nodes: DataFrame | None = None, step: float = 1.0) -> DataFrame:
     """`points` (x, y, epsg, ...) with x, y on the grid and srid set.
 
-    Points on the grid stay as they are; other zones go back to degrees; GDA94 degrees are shifted by the node table.
+    Points on the grid stay as they are; other zones go back to degrees; GDA94 degrees are shifted by the node table. A point that no
+    shift covers has neither coordinates nor srid, and no guard lets it pass.
     """
     require_known_crs(points, nodes)
     zone = F.coalesce(*(F.when(F.col("epsg") == c, z) for c, _, _, z in CODES if z))
@@ -126,19 +127,23 @@ def to_grid_xy(points: DataFrame, nodes: DataFrame | None = None, step: float =
         moved = shifted.where(old).unionByName(moved.where(~old))
     east, north = project(F.col("lon"), F.col("lat"))
     same = F.col("epsg") == GRID_SRID
-    return moved.withColumns({"x": F.when(same, F.col("x")).otherwise(east), "y": F.when(same, F.col("y")).otherwise(north), "srid": F.lit(GRID_SRID)}).drop("lon", "lat")
+    return moved.withColumns({"x": F.when(same, F.col("x")).otherwise(east), "y": F.when(same, F.col("y")).otherwise(north)}).withColumn("srid", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.lit(GRID_SRID))).drop("lon", "lat")
 
 
 def within_zone(x: Column, y: Column) -> Column:
     return x.between(ENVELOPE["min_x"], ENVELOPE["max_x"]) & y.between(ENVELOPE["min_y"], ENVELOPE["max_y"])
 
 
-def total_bounds(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    return df.agg(F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"))
+def total_bounds(df: DataFrame, x: str = "x", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """Least and greatest coordinates, of the whole table or of each group."""
+    return df.groupBy(*by).agg(F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"))
 
 
 def require_within_zone(df: DataFrame, what: str = "layer") -> None:
-    b = total_bounds(df).first()
+    """Raise where a point lies outside the zone or has no coordinates; an empty table passes."""
+    b, lost = total_bounds(df).first(), df.where("x IS NULL OR y IS NULL").count()
+    if lost:
+        raise CrsError(f"{what}: {lost} points without coordinates, such as no shift covers")
     if b.min_x is not None and (b.min_x < ENVELOPE["min_x"] or b.max_x > ENVELOPE["max_x"] or b.min_y < ENVELOPE["min_y"] or b.max_y > ENVELOPE["max_y"]):
         raise CrsError(f"{what} lands outside the zone: x {b.min_x}..{b.max_x}, y {b.min_y}..{b.max_y}; the declared code is likely wrong")
 
@@ -158,8 +163,18 @@ def coords_verdict(min_x: Column, min_y: Column, max_x: Column) -> Column:
     )
 
 
-def crs_verdict(epsg: Column) -> Column:
-    """Notes on a declared code: none_declared; on_grid; geographic_needs_projecting; gda94_needs_shift_table."""
+def epsg_code(declared: Column) -> Column:
+    """The code in a declaration such as EPSG:7844 or 7844; null where there is none to be read."""
+    return F.regexp_extract(F.trim(declared.cast("string")), r"^(?i:epsg:{1,2})?(\d{4,5})$", 1).try_cast("int")
+
+
+def crs_verdict(epsg: Column, declared: Column | None = None) -> Column:
+    """Notes on a code: none_declared; on_grid; geographic_needs_projecting; gda94_needs_shift_table.
+
+    With the text that was declared: unparseable where it holds no code.
+    """
+    if declared is not None:
+        return F.when(declared.isNotNull() & epsg_code(declared).isNull(), F.array(F.lit("unparseable"))).otherwise(crs_verdict(epsg_code(declared)))
     geographic = epsg.isin([c for c, _, kind, _ in CODES if kind == "geographic"])
     return F.when(epsg.isNull(), F.array(F.lit("none_declared"))).otherwise(
         F.array_compact(

@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 
 from ..functions.dates import date_order
 
-MAX_CODES = 12
+MAX_CODES, SAMPLES = 12, 3
 #: Values that are looked at one by one when a median's neighbourhood is that small; cuts of a larger one.
 FEW, CUTS = 1 << 16, 100
 
 
 _SCHEMA = (
     "column string, kind string, n_rows long, n_null long, least double, median double, greatest double, "
-    "first string, last string, n_distinct long, date_order string, codes array<string>"
+    "first string, last string, n_distinct long, date_order string, codes array<string>, samples array<string>"
 )
 _TYPES = {c.split()[0]: c.split()[1] for c in _SCHEMA.split(", ")}
 
@@ -61,12 +61,14 @@ def profile_columns(df: DataFrame, max_codes: int = MAX_CODES) -> DataFrame:
     """A row a column: kind, rows, nulls, least, median, greatest, distinct values, date order, and short code lists.
 
     Whole columns, no sample. Numbers and booleans get a median; text gets its distinct count and date order, and
-    its sorted values, joined by |, when there are `max_codes` or fewer. Distinct values are counted by grouping each
+    its sorted values, joined by |, when there are `max_codes` or fewer, else the three least as samples. Distinct values are counted by grouping each
     column, so partial counts go before the shuffle and no set is gathered that can grow.
     """
     parts = reduce(DataFrame.unionByName, [part for f in df.schema.fields for part in _profile(df, f, max_codes)])
     whole = parts.groupBy("column").agg(*(F.max(c).alias(c) for c in _TYPES if c != "column"))
-    return whole.withColumn("codes", F.when(F.size("codes") <= max_codes, F.array_join("codes", "|")))
+    many = F.size("codes") > max_codes
+    samples = F.when(many, F.array_join(F.slice("codes", 1, SAMPLES), "|"))
+    return whole.withColumn("samples", samples).withColumn("codes", F.when(~many, F.array_join("codes", "|")))
 
 
 def _profile(df: DataFrame, field: T.StructField, max_codes: int) -> list[DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +27,40 @@ def select_layer(df: DataFrame, layer: str | None = None) -> DataFrame:
 
 
 def write_layers(path: str, layers: dict[str, DataFrame]) -> dict[str, int]:
-    """Write each layer under `path`; names and SRIDs of all are checked before any is written, then read back."""
+    """Replace what `path` holds by `layers`: names and SRIDs of all are checked before any is written, then read back.
+
+    All are written and verified beside the target and then take its place, so the target is the old one or the new one as a whole.
+    """
     if not layers:
         raise LayerError("no layers to write")
     spark = next(iter(layers.values())).sparkSession
     require_in_scope(spark.createDataFrame([(n,) for n in layers], "layer string"))
     for name, df in layers.items():
         require_grid_srid(df, name)
-    for name, df in layers.items():
-        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
-    return verify_layers(spark, path, list(layers))
+    target = path.rstrip("/")
+    staged, old = f"{target}-new-{uuid.uuid4().hex}", f"{target}-old-{uuid.uuid4().hex}"
+    fs, at = _files(spark, target)
+    try:
+        for name, df in layers.items():
+            df.write.parquet(f"{staged}/{name}")
+        verify_layers(spark, staged, list(layers))
+        had = fs.exists(at(target))
+        if had and not fs.rename(at(target), at(old)):
+            raise OSError(f"{target} can't be moved")
+        if not fs.rename(at(staged), at(target)):
+            if had:
+                fs.rename(at(old), at(target))
+            raise OSError(f"{staged} can't take the place of {target}")
+        fs.delete(at(old), True)
+    finally:
+        fs.delete(at(staged), True)
+    return verify_layers(spark, target)
+
+
+def _files(spark: SparkSession, path: str):
+    """The store that holds `path`, and a maker of its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
 
 
 def stored_layer_srids(layers: dict[str, DataFrame]) -> DataFrame:
@@ -44,8 +69,11 @@ def stored_layer_srids(layers: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("layer").agg(F.array_sort(F.collect_set(F.coalesce("srid", F.lit(-1)))).alias("srids"), F.count("*").alias("n_rows"))
 
 
-def verify_layers(spark: SparkSession, path: str, names: list[str]) -> dict[str, int]:
-    """{layer: SRID} as stored; raises where a layer isn't on the grid. An empty layer is on it."""
+def verify_layers(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, int]:
+    """{layer: SRID} as stored, of `names` or of all layers under `path`; raises where one isn't on the grid. An empty layer is on it."""
+    if names is None:
+        fs, at = _files(spark, path)
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at(path)) if s.isDirectory())
     found = {r.layer: r.srids for r in stored_layer_srids({n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in names}).collect()}
     if wrong := {n: s for n, s in found.items() if s != [GRID_SRID]}:
         raise CrsError(f"stored layers aren't on EPSG {GRID_SRID}: {wrong}")
