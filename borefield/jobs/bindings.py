@@ -9,6 +9,8 @@ from ..operators.sufficiency import Thresholds
 
 #: The records span under seven years, so the default limits leave none to test.
 LIMITS = Thresholds(min_span_years=6.0, max_gap_fraction=0.70)
+#: What is added to a bore's key where a reading has no bore.
+UNKNOWN = 1_000_000_000
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "depth_to_water_m"]
 
 
@@ -22,16 +24,19 @@ def bores(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
     else:
         raw = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bore_id"), (300 + F.col("s_acctbal") / 100).alias("rl"))
     collar = F.when(F.col("bore_id") % 5 != 2, F.col("rl"))
-    return raw.where("bore_id % 11 <> 0").select("bore_id", collar.alias("collar_rl_m_ahd"))
+    return raw.select("bore_id", collar.alias("collar_rl_m_ahd"))
 
 
 def readings(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """Depths with a trend and a slow wave by bore, to four decimals so that every engine has the same."""
+    """Depths with a trend and a slow wave by bore, to four decimals so that every engine has the same.
+
+    Those of every eleventh order are of bores that no table has, so that there are orphans.
+    """
     key = F.col("l_partkey" if sparse else "l_suppkey")
     year, month = F.year("l_shipdate"), F.month("l_shipdate")
     depth = F.col("l_extendedprice") / 1000 + 5.0 * (year - 1995) * (key % 3 - 1) + 12 * F.sin((12 * year + month) / F.lit(9.0) + key)
     return table(spark, sf_dir, "lineitem").select(
-        key.alias("bore_id"), F.col("l_shipdate").alias("observed_at"), F.round(depth, 4).alias("depth_to_water_m"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
+        F.when(F.col("l_orderkey") % 11 == 0, key + UNKNOWN).otherwise(key).alias("bore_id"), F.col("l_shipdate").alias("observed_at"), F.round(depth, 4).alias("depth_to_water_m"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
     )
 
 
@@ -41,9 +46,9 @@ def sql(sparse: bool = False) -> str:
         ("l_partkey", "p_partkey", "p_retailprice / 10", "part") if sparse else ("l_suppkey", "s_suppkey", "300 + s_acctbal / 100", "supplier")
     )
     return f"""
-bore AS (SELECT {keep} AS bore_id, CASE WHEN {keep} % 5 <> 2 THEN {collar} END AS collar_rl_m_ahd FROM {source} WHERE {keep} % 11 <> 0),
+bore AS (SELECT {keep} AS bore_id, CASE WHEN {keep} % 5 <> 2 THEN {collar} END AS collar_rl_m_ahd FROM {source}),
 reading AS (
-  SELECT {key} AS bore_id, l_shipdate AS observed_at, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  SELECT CASE WHEN l_orderkey % 11 = 0 THEN {key} + {UNKNOWN} ELSE {key} END AS bore_id, l_shipdate AS observed_at, l_orderkey, l_linenumber, l_partkey, l_suppkey,
     round(l_extendedprice / 1000 + 5.0 * (year(l_shipdate) - 1995) * ({key} % 3 - 1) + 12 * sin((12 * year(l_shipdate) + month(l_shipdate)) / 9.0::DOUBLE + {key}), 4)
       AS depth_to_water_m FROM lineitem
 ),

@@ -377,7 +377,7 @@ def trends_sql(sparse: bool) -> str:
       round(CASE WHEN collar_rl_m_ahd IS NULL THEN 0 - slope ELSE slope END, 6) AS sens_slope_m_per_year,
       round(CASE WHEN collar_rl_m_ahd IS NULL THEN 0 - upper ELSE lower END, 6) AS sens_slope_lower,
       round(CASE WHEN collar_rl_m_ahd IS NULL THEN 0 - lower ELSE upper END, 6) AS sens_slope_upper,
-      round(m.tau, 6) AS tau, CASE WHEN m.p_value IS NOT NULL THEN 'hamed_rao' END AS variance_method
+      round(m.tau, 6) AS tau, round(m.p_value, 6) AS p_value, round(m.z, 6) AS z_score, round(m.factor, 6) AS autocorrelation_factor, round(m.effective_n, 6) AS effective_n, CASE WHEN m.p_value IS NOT NULL THEN 'hamed_rao' END AS variance_method
     FROM bore b LEFT JOIN assessed a USING (bore_id) LEFT JOIN y_m m USING (bore_id) LEFT JOIN yr_slope USING (bore_id)"""
     )
 
@@ -388,17 +388,19 @@ def _trends(spark, d, sparse=False, limits=bindings.LIMITS):
     return trends.bore_trends(bindings.readings(spark, d, sparse), bores, limits, decimals=6)
 
 
-_STATS = ("span_years", "gap_fraction", "sens_slope_m_per_year", "sens_slope_lower", "sens_slope_upper", "tau")
+_STATS = (
+    "span_years", "gap_fraction", "sens_slope_m_per_year", "sens_slope_lower", "sens_slope_upper", "tau", "p_value", "z_score", "autocorrelation_factor", "effective_n",
+)
 
 
 @query("bore_trends", trends_sql(sparse=False))
 def bore_trends(spark, d):
-    return _rounded(_trends(spark, d), *_STATS).drop("p_value", "z_score", "autocorrelation_factor", "effective_n")
+    return _rounded(_trends(spark, d), *_STATS)
 
 
 @query("bore_trends_sparse", trends_sql(sparse=True))
 def bore_trends_sparse(spark, d):
-    return _rounded(_trends(spark, d, sparse=True), *_STATS).drop("p_value", "z_score", "autocorrelation_factor", "effective_n")
+    return _rounded(_trends(spark, d, sparse=True), *_STATS)
 
 
 @query("trend_geom", trends_sql(sparse=False).replace("FROM bore b LEFT", f", x, y, CAST(7853 AS INTEGER) AS srid, CASE WHEN collar_rl_m_ahd IS NULL THEN 'collar_rl_missing' ELSE 'collar_rl_known' END AS datum_status FROM bore b JOIN (SELECT s_suppkey AS bore_id, {_POINTS} FROM supplier) USING (bore_id) LEFT"))
@@ -461,9 +463,12 @@ def date_order(spark, d):
     return _dated(spark, d).groupBy("kind").agg(F.count("*").alias("n_rows"), dates.date_order(F.col("text")).alias("date_order"))
 
 
-@query("parse_dates", _with(_DATED) + "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS text FROM dated WHERE kind = 'day'")
+@query("parse_dates", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS text, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 13 HOUR AS long FROM orders")
 def parse_dates(spark, d):
-    return dates.parse_dates(_dated(spark, d).where("kind = 'day'").select("o_orderkey", "text"), {"text": "%d/%m/%Y", "not_there": "%Y"})
+    """All order dates as text of two kinds, one with names of months and a twelve-hour clock."""
+    written = {"text": F.date_format("o_orderdate", "d/M/yyyy"), "long": F.concat(F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" at 01.00 PM"))}
+    orders = bindings.table(spark, d, "orders").select("o_orderkey", *(c.alias(name) for name, c in written.items()))
+    return dates.parse_dates(orders, {"text": "%d/%m/%Y", "long": "%B %d, %Y at %I.%M %p", "not_there": "%Y"})
 
 
 @query(
@@ -485,14 +490,15 @@ def read_delimited(spark, d):
 
 
 def _profile_sql(view: str, numbers: list[str], times: list[str], texts: list[str]) -> str:
-    null = {"least": "NULL::DOUBLE", "median": "NULL::DOUBLE", "greatest": "NULL::DOUBLE", "first": "NULL::VARCHAR", "last": "NULL::VARCHAR", "n_distinct": "NULL::BIGINT", "date_order": "NULL::VARCHAR", "codes": "NULL::VARCHAR"}
+    null = {"least": "NULL::DOUBLE", "median": "NULL::DOUBLE", "greatest": "NULL::DOUBLE", "first": "NULL::VARCHAR", "last": "NULL::VARCHAR", "n_distinct": "NULL::BIGINT", "date_order": "NULL::VARCHAR", "codes": "NULL::VARCHAR", "samples": "NULL::VARCHAR"}
 
     def part(c: str, kind: str, **known: str) -> str:
         return f"SELECT '{c}' AS \"column\", '{kind}' AS kind, count(*) AS n_rows, count(*) - count({c}) AS n_null, " + ", ".join(f'{x} AS "{n}"' for n, x in (null | known).items()) + f" FROM {view}"
 
     parts = [part(c, "number", least=f"min({c})::DOUBLE", median=f"median({c}::DOUBLE)", greatest=f"max({c})::DOUBLE") for c in numbers]
     parts += [part(c, "time", first=f"strftime(min({c}), '%Y-%m-%d %H:%M:%S')", last=f"strftime(max({c}), '%Y-%m-%d %H:%M:%S')") for c in times]
-    parts += [part(c, "text", n_distinct=f"count(DISTINCT {c})", codes=f"CASE WHEN count(DISTINCT {c}) <= 12 THEN array_to_string(list_sort(list(DISTINCT {c}) FILTER ({c} IS NOT NULL)), '|') END") for c in texts]
+    parts += [part(c, "text", n_distinct=f"count(DISTINCT {c})", codes=f"CASE WHEN count(DISTINCT {c}) <= 12 THEN array_to_string(list_sort(list(DISTINCT {c}) FILTER ({c} IS NOT NULL)), '|') END",
+        samples=f"CASE WHEN count(DISTINCT {c}) > 12 THEN array_to_string(list_sort(list(DISTINCT {c}) FILTER ({c} IS NOT NULL))[1:3], '|') END") for c in texts]
     return " UNION ALL ".join(parts)
 
 
@@ -611,7 +617,8 @@ def crs_verdict(spark, d):
 def total_bounds(spark, d):
     x, y = F.col("x"), F.col("y")
     grid = geodesy.to_grid_xy(_lonlat(spark, d)).withColumn("zone", F.col("s_suppkey") % 7)
-    bounds = grid.groupBy("zone").agg(F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"), F.count(F.when(geodesy.within_zone(x, y), 1)).alias("n_within"))
+    inside = grid.groupBy("zone").agg(F.count(F.when(geodesy.within_zone(x, y), 1)).alias("n_within"))
+    bounds = geodesy.total_bounds(grid, by=("zone",)).join(inside, "zone")
     judged = bounds.withColumn("verdict", geodesy.coords_verdict(F.col("min_x"), F.col("min_y"), F.col("max_x")))
     return judged.withColumns({c: F.round(c, 3) for c in ("min_x", "min_y", "max_x", "max_y")})
 
@@ -633,7 +640,7 @@ def select_layer(spark, d):
 
 @query(
     "verify_layers",
-    """SELECT 'bore' AS layer, '7853' AS srids, count(*) AS n_rows FROM supplier WHERE s_suppkey % 11 <> 0 UNION ALL
+    """SELECT 'bore' AS layer, '7853' AS srids, count(*) AS n_rows FROM supplier UNION ALL
     SELECT 'mixed', array_to_string(list_sort(list(DISTINCT coalesce(e, -1))), ','), count(*) FROM (SELECT """ + _CODE + """ AS e FROM supplier)""",
 )
 def verify_layers(spark, d):
@@ -672,3 +679,74 @@ def check_trends(spark, d):
     """The flagship's own rows break no rule."""
     bores = bindings.bores(spark, d)
     return checks.check_trends(_trends(spark, d), bores)
+
+
+_FAULTY = """t AS (SELECT s_suppkey - CASE WHEN s_suppkey % 37 = 5 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 41 = 1 THEN 1000000000 ELSE 0 END AS bore_id, CASE s_suppkey % 11 WHEN 3 THEN 'depth' WHEN 4 THEN NULL ELSE 'head_m_ahd' END AS basis,
+  CASE s_suppkey % 7 WHEN 0 THEN 'insufficient_data' WHEN 1 THEN 'steady' WHEN 2 THEN NULL ELSE 'rising' END AS trend_class, CASE WHEN s_suppkey % 7 = 0 AND s_suppkey % 3 <> 0 OR s_suppkey % 17 = 1 THEN 'too short' END AS insufficient_reason,
+  CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 19 <> 2 OR s_suppkey % 23 = 0 THEN 0.01 END AS p_value, CASE WHEN s_suppkey % 7 <> 0 THEN 1.5 END AS sens_slope_m_per_year, CASE WHEN s_suppkey % 29 <> 0 THEN 30 END AS n_observations FROM supplier)"""
+
+
+@query(
+    "check_trends_faulty",
+    "WITH " + _FAULTY + """, b AS (SELECT s_suppkey AS bore_id FROM supplier)
+    SELECT 'bore_trend.primary_key' AS rule, CAST(bore_id AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS detail FROM t GROUP BY bore_id HAVING count(*) > 1
+    UNION ALL SELECT 'bore_trend.' || c || '.not_null', CAST(bore_id AS VARCHAR), 'null' FROM (SELECT bore_id, unnest([CASE WHEN basis IS NULL THEN 'basis' END, CASE WHEN trend_class IS NULL THEN 'trend_class' END, CASE WHEN n_observations IS NULL THEN 'n_observations' END]) AS c FROM t) WHERE c IS NOT NULL
+    UNION ALL SELECT 'bore_trend.trend_class', CAST(bore_id AS VARCHAR), trend_class FROM t WHERE trend_class NOT IN ('rising', 'falling', 'no_trend', 'insufficient_data')
+    UNION ALL SELECT 'bore_trend.basis', CAST(bore_id AS VARCHAR), basis FROM t WHERE basis NOT IN ('head_m_ahd', 'depth_to_water_m')
+    UNION ALL SELECT 'bore_trend.statistics', CAST(bore_id AS VARCHAR), trend_class FROM t WHERE NOT ((trend_class = 'insufficient_data' AND insufficient_reason IS NOT NULL AND p_value IS NULL AND sens_slope_m_per_year IS NULL) OR (trend_class <> 'insufficient_data' AND insufficient_reason IS NULL AND p_value IS NOT NULL))
+    UNION ALL SELECT 'bore_trend.foreign_key', CAST(bore_id AS VARCHAR), CAST(count(*) AS VARCHAR) FROM t ANTI JOIN b USING (bore_id) GROUP BY bore_id""",
+)
+def check_trends_faulty(spark, d):
+    """Trend rows with faults of every kind, one for each supplier."""
+    k = F.col("s_suppkey")
+    rows = bindings.table(spark, d, "supplier").select(
+        (k - F.when(k % 37 == 5, 1).otherwise(0) + F.when(k % 41 == 1, bindings.UNKNOWN).otherwise(0)).alias("bore_id"),
+        F.when(k % 11 == 3, "depth").when(k % 11 != 4, "head_m_ahd").alias("basis"),
+        F.when(k % 7 == 0, "insufficient_data").when(k % 7 == 1, "steady").when(k % 7 != 2, "rising").alias("trend_class"),
+        F.when((k % 7 == 0) & (k % 3 != 0) | (k % 17 == 1), "too short").alias("insufficient_reason"),
+        F.when((k % 7 != 0) & (k % 19 != 2) | (k % 23 == 0), 0.01).alias("p_value"),
+        F.when(k % 7 != 0, 1.5).alias("sens_slope_m_per_year"),
+        F.when(k % 29 != 0, 30).alias("n_observations"),
+    )
+    return checks.check_trends(rows, bindings.table(spark, d, "supplier").select(k.alias("bore_id")))
+
+
+@query(
+    "check_readings_faulty",
+    """WITH r AS (SELECT CASE WHEN l_orderkey % 101 = 3 THEN NULL WHEN l_suppkey % 41 = 1 THEN l_suppkey + 1000000000 ELSE l_suppkey END AS bore_id, CASE WHEN l_orderkey % 97 = 5 THEN NULL ELSE l_shipdate END AS observed_at, CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity END AS depth_to_water_m, CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice END AS level_m_ahd,
+      CASE WHEN l_orderkey % 211 <> 0 THEN 'lineitem' END AS source_file FROM lineitem), b AS (SELECT s_suppkey AS bore_id FROM supplier)
+    SELECT 'water_level.unique' AS rule, bore_id || '|' || strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS key, CAST(count(*) AS VARCHAR) AS detail FROM r WHERE bore_id IS NOT NULL AND observed_at IS NOT NULL GROUP BY bore_id, observed_at HAVING count(*) > 1
+    UNION ALL SELECT 'water_level.' || c || '.not_null', CAST(bore_id AS VARCHAR), 'null' FROM (SELECT bore_id, unnest([CASE WHEN bore_id IS NULL THEN 'bore_id' END, CASE WHEN observed_at IS NULL THEN 'observed_at' END, CASE WHEN source_file IS NULL THEN 'source_file' END]) AS c FROM r) WHERE c IS NOT NULL
+    UNION ALL SELECT 'water_level.depth_or_level', CAST(bore_id AS VARCHAR), strftime(observed_at, '%Y-%m-%d %H:%M:%S') FROM r WHERE depth_to_water_m IS NULL AND level_m_ahd IS NULL
+    UNION ALL SELECT 'water_level.foreign_key', CAST(bore_id AS VARCHAR), CAST(count(*) AS VARCHAR) FROM r ANTI JOIN b USING (bore_id) WHERE bore_id IS NOT NULL GROUP BY bore_id""",
+)
+def check_readings_faulty(spark, d):
+    """Line items as readings with faults of every kind."""
+    k = F.col("l_orderkey")
+    rows = bindings.table(spark, d, "lineitem").select(
+        F.when(k % 101 != 3, F.col("l_suppkey") + F.when(F.col("l_suppkey") % 41 == 1, bindings.UNKNOWN).otherwise(0)).alias("bore_id"),
+        F.when(k % 97 != 5, F.col("l_shipdate")).alias("observed_at"),
+        F.when(k % 5 != 0, F.col("l_quantity")).alias("depth_to_water_m"),
+        F.when(k % 7 != 0, F.col("l_extendedprice")).alias("level_m_ahd"),
+        F.when(k % 211 != 0, "lineitem").alias("source_file"),
+    )
+    return checks.check_readings(rows, bindings.table(spark, d, "supplier").select(F.col("s_suppkey").alias("bore_id")))
+
+
+@query(
+    "check_licences_faulty",
+    """WITH l AS (SELECT c_custkey - CASE WHEN c_custkey % 43 = 7 THEN 1 ELSE 0 END AS licence_id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS geom, CASE c_custkey % 5 WHEN 0 THEN 4283 WHEN 1 THEN NULL ELSE 7853 END AS srid, CASE WHEN c_custkey % 31 <> 2 THEN 'customer' END AS source_file FROM customer)
+    SELECT 'licence.primary_key' AS rule, CAST(licence_id AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS detail FROM l GROUP BY licence_id HAVING count(*) > 1
+    UNION ALL SELECT 'licence.source_file.not_null', CAST(licence_id AS VARCHAR), 'null' FROM l WHERE source_file IS NULL
+    UNION ALL SELECT 'licence.srid', CAST(licence_id AS VARCHAR), coalesce(CAST(srid AS VARCHAR), 'null') FROM l WHERE geom IS NOT NULL AND srid IS DISTINCT FROM 7853""",
+)
+def check_licences_faulty(spark, d):
+    """Customers as licences, some without a shape, some with a wrong code."""
+    k = F.col("c_custkey")
+    rows = bindings.table(spark, d, "customer").select(
+        (k - F.when(k % 43 == 7, 1).otherwise(0)).alias("licence_id"),
+        F.when(k % 3 != 0, F.col("c_name")).alias("geom"),
+        F.when(k % 5 == 0, 4283).when(k % 5 != 1, 7853).alias("srid"),
+        F.when(k % 31 != 2, "customer").alias("source_file"),
+    )
+    return checks.check_licences(rows)

@@ -38,15 +38,23 @@ def load_bores(raw: DataFrame, path: str, source_file: str, source_crs: str) ->
     table.withColumn("loaded_at", F.current_timestamp()).write.mode("overwrite").parquet(path)
 
 
-def append_readings(spark: SparkSession, path: str, batch: DataFrame, order: list[str]) -> None:
-    """Append a batch's new readings to the table at `path`; running it again adds nothing."""
+def append_readings(spark: SparkSession, path: str, batch: DataFrame, order: list[str], source_file: str | None = None) -> None:
+    """Append a batch's new readings to the table at `path`, with where they are from; running it again adds nothing.
+
+    Without `source_file`, and where the batch has none, it is the file a row was read from. loaded_at is set on writing.
+    """
+    require_columns(batch, "bore_id", "observed_at")
+    if source_file is not None:
+        batch = batch.withColumn("source_file", F.lit(source_file))
+    elif "source_file" not in batch.columns:
+        batch = batch.withColumn("source_file", F.coalesce(F.nullif(F.input_file_name(), F.lit("")), F.lit("unnamed")))
     try:
         stored = spark.read.parquet(path).select("bore_id", "observed_at")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = batch.limit(0).select("bore_id", "observed_at")
-    merge_readings(stored, batch, order).write.mode("append").parquet(path)
+    merge_readings(stored, batch, order).withColumn("loaded_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def write_trends(readings: DataFrame, bores: DataFrame, path: str, thresholds: Thresholds | None = None) -> None:
