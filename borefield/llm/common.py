@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +68,17 @@ def id_text(df: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called where a task begins: what other operators remember in this worker is forgotten, so workers hold one operator's memory."""
+    for other in [x for x in _HELD if x != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = forget
+    pa.default_memory_pool().release_unused()
+
+
 def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of about `limit` bytes of text; one long text is a run alone."""
     if not batch.num_rows:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, id_text, table
+from .common import by_bytes, hold, id_text, table
 
 #: Together these hit every 13 words of which any two are substituted (found by trying all masks of six words).
 MASKS = ("11101011", "11001111")
@@ -135,6 +135,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in seeded_blocks(benchmark):
 
         def run(batches, block=block):
+            hold("decontamination", _MEMO.clear)
             for batch in batches:
                 for part in by_bytes(batch):
                     rows = []
@@ -155,6 +156,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in seeded_blocks(benchmark):
 
         def run(batches, block=block):
+            hold("decontamination", _MEMO.clear)
             for batch in batches:
                 for part in by_bytes(batch):
                     clean = [next(block.overlaps(t or ""), None) is None for t in part.column("text").to_pylist()]

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, id_text, materialize, spread_join, table
+from .common import by_bytes, hold, id_text, materialize, spread_join, table
 
 MIN_WORDS = 50
 _BASE = 0x9E3779B97F4A7C15
@@ -70,6 +70,7 @@ def chosen(h: np.ndarray, min_words: int) -> np.ndarray:
 
 def _suffixes(min_words: int):
     def run(batches):
+        hold("suffixes", _MEMO.clear)
         for batch in batches:
             for part in by_bytes(batch):
                 keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -130,6 +131,7 @@ def _windows(have: np.ndarray, min_words: int):
     low = np.uint64((len(have) << 6) - 1)
 
     def run(batches):
+        hold("suffixes", _MEMO.clear)
         for batch in batches:
             for part in by_bytes(batch):
                 columns = [[np.zeros(0, np.int64)] for _ in range(3)]

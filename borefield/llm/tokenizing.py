@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import hold
+
 #: Parts remembered by a worker, bytes of parts given to the library at once, characters split at once.
-MEMO, ENCODE_BYTES, SEGMENT = 500_000, 1 << 17, 1 << 20
+MEMO, ENCODE_BYTES, SEGMENT = 300_000, 1 << 17, 1 << 20
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _BLANK = re.compile(r"[ \t\r\n]")
 #: What may follow a word's letters without a token crossing.
@@ -217,7 +219,12 @@ def _safe_cut(spec: dict) -> str:
     return "whole"
 
 
-@functools.cache
 def encoder(path: str) -> PartEncoder:
     """One encoder for each worker process, so that what it remembers serves all its tasks."""
+    hold("tokenizing", _encoder.cache_clear)
+    return _encoder(path)
+
+
+@functools.cache
+def _encoder(path: str) -> PartEncoder:
     return PartEncoder(path)
