@@ -284,6 +284,59 @@ def test_repeated_passages_at_other_lengths(spark):
     assert {(r.doc_id, r.start_word, r.end_word) for r in suffixes.repeated_spans(df, 8).collect()} == slow_spans(texts, 8)
 
 
+def spans_of(spark, texts, size, partitions=None):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    df = df.repartition(partitions) if partitions else df
+    return {(r.doc_id, r.start_word, r.end_word) for r in suffixes.repeated_spans(df, size).collect()}
+
+
+def test_windows_that_no_neighbour_shows(spark, monkeypatch):
+    """A suffix shares one window with a neighbour in one order, one in the other, and one with a suffix that neighbours it in neither."""
+    asked = []
+    plain = suffixes._windows
+    monkeypatch.setattr(suffixes, "_windows", lambda reach: asked.append(reach) or plain(reach))
+    rng = np.random.default_rng(5)
+    run = [f"r{i}" for i in range(6)]
+    texts = {}
+    for i in range(120):
+        before, after = ([f"{side}{j}{rng.integers(2)}" for j in range(4)] for side in "ab")
+        texts[i] = " ".join([f"x{i}", *before, *run, *after, f"y{i}"])
+    for partitions in (1, 7):
+        assert spans_of(spark, texts, 9, partitions) == slow_spans(texts, 9)
+    assert asked
+
+
+def test_suffixes_that_share_their_run_alone(spark):
+    run = " ".join(f"r{i}" for i in range(30))
+    texts = {i: " ".join(f"d{i}w{j}" for j in range(40)) + f" {run} " + " ".join(f"d{i}v{j}" for j in range(40)) for i in range(5)}
+    assert spans_of(spark, texts, 50) == set()
+    assert spans_of(spark, texts, 30) == slow_spans(texts, 30) == {(i, 40, 70) for i in range(5)}
+
+
+def test_repeats_of_equal_and_long_words(spark):
+    long_word = "z" * 5_000
+    texts = {
+        1: "again " * 130,
+        2: "once " + "AGAIN\t" * 60 + "more",
+        3: " ".join([long_word, *[f"w{i}" for i in range(49)]]),
+        4: " ".join(["front", long_word, *[f"w{i}" for i in range(49)], "back"]),
+        5: " ".join([long_word + "z", *[f"w{i}" for i in range(49)]]),
+    }
+    got = spans_of(spark, texts, 50)
+    assert got == slow_spans(texts, 50) and {(1, 0, 130), (2, 1, 61), (3, 0, 50), (4, 1, 51)} <= got and not any(i == 5 for i, *_ in got)
+
+
+def test_lengths_of_passages_have_bounds(spark, odd):
+    for size in (1, 125):
+        with pytest.raises(ValueError, match="min_words"):
+            suffixes.repeated_spans(odd, size)
+    rng = np.random.default_rng(8)
+    words = rng.integers(3, size=400)
+    texts = {i: " ".join(f"t{w}" for w in words[i * 20 : i * 20 + 180]) for i in range(10)}
+    for size in (2, 3, 124):
+        assert spans_of(spark, texts, size) == slow_spans(texts, size)
+
+
 # 2
 
 
