@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
 #: Bytes of text handled at once inside an Arrow task.
 BATCH_BYTES = 4 << 20
 #: A key is hot when it has over one in HOT of all rows, so there are fewer than HOT such keys.
@@ -76,7 +79,15 @@ def hold(owner: str, forget: Callable[[], None] = lambda: None) -> None:
     for other in [x for x in _HELD if x != owner]:
         _HELD.pop(other)()
     _HELD[owner] = forget
+    give_back()
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the system, where its C library can do that."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
