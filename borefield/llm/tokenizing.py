@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ class PartEncoder:
         self.aged: dict[str, bytes] = {}
         self.bar: int | None = None
         self.closing: np.ndarray | None = None
+        self.before = pa.array([], pa.string()), _Ids(np.zeros(0, "<u4"), np.zeros(0, np.int64))
         if path.endswith(".model"):
             import sentencepiece
 
@@ -82,20 +84,13 @@ class PartEncoder:
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, as uint32; how many ids each text has). Give a few MB of text at once."""
         codes, known, sizes = self._coded(texts)
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(known), "<u4")
-        each = lengths[codes]
-        ends = np.cumsum(each)
-        if not len(ends):
-            return np.zeros(0, "<u4"), sizes
-        at = np.repeat((starts[codes] - (ends - each)).astype(np.int32), each)
-        ids = flat[np.add(at, np.arange(len(at), dtype=np.int32), out=at)]
-        return ids, _per_text(each, sizes)
+        each = known.lengths[codes]
+        return known.gather(codes), _per_text(each, sizes)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """How many ids each text has."""
         codes, known, sizes = self._coded(texts)
-        return _per_text((np.fromiter(map(len, known), np.int64, len(known)) // 4)[codes], sizes)
+        return _per_text(known.lengths[codes], sizes)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian uint32 bytes."""
@@ -103,11 +98,65 @@ class PartEncoder:
         raw, ends = ids.astype("<u4", copy=False).tobytes(), np.cumsum(sizes) * 4
         return [raw[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)] if len(texts) else []
 
-    def _coded(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """For every part a number, for every number its ids, and the parts of each text."""
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, _Ids, np.ndarray]:
+        """For every part a number, the ids of each number, and the parts of each text."""
         parts, sizes = self._parts(texts)
         coded = parts.dictionary_encode()
-        return coded.indices.to_numpy(zero_copy_only=False), self._lookup(coded.dictionary.to_pylist()), sizes
+        distinct = coded.dictionary
+        known = self._ids_of_parts(distinct) if self.closing is not None else _Ids.of(self._lookup(distinct.to_pylist()))
+        return coded.indices.to_numpy(zero_copy_only=False), known, sizes
+
+    def _ids_of_parts(self, distinct: pa.Array) -> _Ids:
+        """Letters and the punctuation after them are never in one token, so a part is a word and a tail, each encoded once.
+
+        Words are remembered; when they are too many, those of the last batch.
+        """
+        core = pc.utf8_rtrim(distinct, characters=_TAIL)
+        is_word = pc.utf8_is_alpha(core)
+        words = core.filter(is_word).dictionary_encode()
+        tails = pc.replace_substring_regex(distinct.filter(is_word), f"^[^{_TAIL}]+", "").dictionary_encode()
+        others = distinct.filter(pc.invert(is_word))
+        units = [self._words(words.dictionary), self._others(tails.dictionary), self._others(others)]
+        first, second = np.empty(len(distinct), np.int64), np.full(len(distinct), -1, np.int64)
+        mask = is_word.to_numpy(zero_copy_only=False)
+        n, m = len(words.dictionary), len(tails.dictionary)
+        first[mask], second[mask] = words.indices.to_numpy(zero_copy_only=False), n + tails.indices.to_numpy(zero_copy_only=False)
+        first[~mask] = n + m + np.arange(len(others))
+        every = _Ids(np.concatenate([u.flat for u in units]), np.concatenate([*(u.lengths for u in units), [0]]))  # the last unit is empty
+        both = np.stack([first, second], 1)
+        return _Ids(every.gather(both.ravel()), every.lengths[both].sum(1))
+
+    def _words(self, words: pa.Array) -> _Ids:
+        seen, ids = self.before
+        at = pc.index_in(words, seen).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = words.filter(pa.array(at < 0))
+        learned = _Ids.join([self._run_of_words(run) for run in _runs(new)])
+        at[at < 0] = len(seen) + np.arange(len(new))
+        both = _Ids.join([ids, learned])
+        found = _Ids(both.gather(at), both.lengths[at])
+        self.before = (pa.concat_arrays([seen, new]), both) if len(both.lengths) <= MEMO else (words, found)
+        return found
+
+    def _run_of_words(self, run: list[str]) -> _Ids:
+        """In one text for the whole run, as each such word ends with the only closing token it has."""
+        ids = np.asarray(self.encode([" ".join(run)])[0], "<u4")
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        return _Ids(ids, np.diff(ends, prepend=0)) if len(ends) == len(run) and ends[-1] == len(ids) else self._one_by_one(run)
+
+    def _others(self, parts: pa.Array) -> _Ids:
+        """In one text for each run, with a part that has one id of its own between the parts; parts that hold it alone."""
+        return _Ids.join([self._run_of_others(run) for run in _runs(parts)])
+
+    def _run_of_others(self, run: list[str]) -> _Ids:
+        if self.bar is None or any("|" in p or not p for p in run):
+            return self._one_by_one(run)
+        ids = np.asarray(self.encode([" | ".join(run)])[0], "<u4")
+        is_bar = ids == self.bar
+        ends = np.append(np.flatnonzero(is_bar), len(ids))
+        return _Ids(ids[~is_bar], np.diff(ends, prepend=-1) - 1) if len(ends) == len(run) else self._one_by_one(run)
+
+    def _one_by_one(self, run: list[str]) -> _Ids:
+        return _Ids.of([np.asarray(i, "<u4").tobytes() for i in self.encode(run)])
 
     def _lookup(self, distinct: list[str]) -> list[bytes]:
         """The ids of each part; parts not remembered are encoded. Parts not met for long are forgotten."""
@@ -131,24 +180,7 @@ class PartEncoder:
         return out
 
     def _learn(self, parts: list[str]) -> None:
-        """Encode parts. Letters and the punctuation after them are never in one token, so either is learned once."""
-        if self.closing is None:
-            return self._by_bytes(parts, self._encode)
-        words, rest, split = set(), [], []
-        for part in parts:
-            if part.isalpha():
-                words.add(part)
-            elif (core := part.rstrip(_TAIL)).isalpha():
-                split.append((part, core, part[len(core) :]))
-            else:
-                rest.append(part)
-        tails = {tail for _, _, tail in split} - set(rest)
-        cores = list({core for _, core, _ in split} - words)
-        words.update(core for core, ids in zip(cores, self._remembered(cores), strict=True) if ids is None)
-        self._by_bytes(list(words), self._encode_words)
-        self._by_bytes([*rest, *tails], self._encode)
-        for part, core, tail in split:
-            self.fresh[part] = self.fresh[core] + self.fresh[tail]
+        self._by_bytes(parts, self._encode)
 
     def _by_bytes(self, parts: list[str], encode) -> None:
         run, size = [], 0
@@ -160,30 +192,52 @@ class PartEncoder:
                 run, size = [], 0
         encode(run)
 
-    def _encode_words(self, run: list[str]) -> None:
-        """Parts of letters alone: in one text for the whole run, as each such word ends with the only closing token it has."""
-        if run:
-            ids = np.asarray(self.encode([" ".join(run)])[0], "<u4")
-            ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
-            if len(ends) != len(run) or ends[-1] != 4 * len(ids):
-                return self._encode(run)
-            self._keep(run, ids, np.append(0, ends[:-1]), ends)
-
     def _encode(self, run: list[str]) -> None:
-        if self.bar is not None:
-            # One text for the whole run, with a part that has one id of its own between the parts.
-            plain = [p for p in run if "|" not in p]
-            run = [p for p in run if "|" in p]
-            if plain:
-                ids = np.asarray(self.encode([" | ".join(plain)])[0], "<u4")
-                ends = np.append(np.flatnonzero(ids == self.bar), len(ids)) * 4
-                self._keep(plain, ids, np.append(0, ends[:-1] + 4), ends)
         if run:
             self.fresh.update(zip(run, (np.asarray(i, "<u4").tobytes() for i in self.encode(run)), strict=True))
 
-    def _keep(self, parts: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = ids.tobytes()
-        self.fresh.update(zip(parts, (raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
+
+class _Ids:
+    """Ids of numbered parts: all in a row, and how many each part has."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.lengths = flat, lengths
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> _Ids:
+        return cls(np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
+
+    @classmethod
+    def join(cls, several: list[_Ids]) -> _Ids:
+        return cls(np.concatenate([np.zeros(0, "<u4"), *(x.flat for x in several)]), np.concatenate([np.zeros(0, np.int64), *(x.lengths for x in several)]))
+
+    def gather(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of parts in the order of `codes`."""
+        each = self.lengths[codes]
+        if not len(each):
+            return np.zeros(0, "<u4")
+        starts, ends = np.cumsum(self.lengths) - self.lengths, np.cumsum(each)
+        at = np.repeat((starts[codes] - (ends - each)).astype(np.int32), each)
+        return self.flat[np.add(at, np.arange(len(at), dtype=np.int32), out=at)]
+
+
+def _runs(parts: pa.Array) -> Iterator[list[str]]:
+    """Runs of parts of about ENCODE_BYTES; parts that hold a bar, or nothing, are runs of their own kind."""
+    alone = pc.or_(pc.match_substring(parts, "|"), pc.equal(pc.binary_length(parts), 0))
+    if not pc.any(alone).as_py():
+        ends = np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False)) // ENCODE_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(parts)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                yield parts.slice(a, b - a).to_pylist()
+        return
+    kinds = alone.to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(parts)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if kinds[a]:
+            yield parts.slice(a, b - a).to_pylist()
+        else:
+            yield from _runs(parts.slice(a, b - a))
 
 
 def _per_text(each: np.ndarray, sizes: np.ndarray) -> np.ndarray:
