@@ -177,9 +177,10 @@ def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], in
 
 
 def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """`pieces` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset.
+    """`pieces` (doc_id, piece, start, length, ids_crc32, deal, ...) with sequence_id and offset, without `deal`.
 
-    `pieces` is read three times and must be stable (a table or checkpoint). No piece is dropped; equal
+    `deal` is a number from 0 up to 1 for each piece, drawn when it was written, so that pieces of one id or without id are dealt like
+    all others. `pieces` is read three times and must be stable (a table or checkpoint). No piece is dropped; equal
     rows take places in any order. An empty table gives an empty table.
     """
     spark = pieces.sparkSession
@@ -196,27 +197,27 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     each = max(256, math.isqrt(sum(counts.values())))
     salts = spark.createDataFrame([(k, max(1, v // each)) for k, v in counts.items()], "length long, salts long")
 
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("salts"))).drop("salts")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.floor(F.col("deal") * F.col("salts"))).drop("salts")
     before = (
         salted.groupBy("length", "salt")
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
         .drop("n")
     )
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("deal")) - 1
     ranked = salted.withColumn("within", within).join(before, ["length", "salt"]).withColumn("rank", F.col("within") + F.col("before"))
     slots = slots.withColumnRenamed("length", "slot_length")
     here = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past"))
     return (
         ranked.join(F.broadcast(slots), here)  # O(capacity) rows, see plan_packing
         .withColumn("sequence_id", F.col("rank") + F.col("shift"))
-        .drop("slot_length", "first", "past", "shift", "within", "before", "rank", "salt")
+        .drop("slot_length", "first", "past", "shift", "within", "before", "rank", "salt", "deal")
     )
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """Pieces of `docs` with their place in sequences of at most `capacity` ids; `with_ids` adds the ids."""
-    return place(materialize(token_pieces(docs, tokenizer_path, capacity, with_ids=with_ids)), capacity)
+    return place(materialize(token_pieces(docs, tokenizer_path, capacity, with_ids=with_ids).withColumn("deal", F.rand(0))), capacity)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

@@ -596,3 +596,29 @@ def test_hot_keys_join_as_others_do(spark, monkeypatch, how, hot):
     assert rows_of(got.toPandas()) == rows_of(rows.join(partners.drop("n"), "k", how).toPandas()) and got.count() == 44
     assert common.spread_join(rows.limit(0), partners, "k", 0, how).count() == 0
     assert common.spread_join(rows, partners.limit(0), "k", len(keys), how).count() == 0
+
+
+def test_rows_without_id_are_dealt_like_others(spark):
+    """A third of the rows has no id and another third one id; the salts of a common length share them evenly."""
+    docs = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same words here").alias("text"))
+    pieces = packing.token_pieces(docs, WORDS).withColumn("deal", F.rand(0)).cache()
+    buckets = pieces.groupBy(F.floor(F.col("deal") * 30).alias("salt")).count().collect()
+    assert len(buckets) == 30 and max(r["count"] for r in buckets) < 2 * 300
+    placed = packing.place(pieces).collect()
+    assert len(placed) == 9_000 and len({(r.sequence_id, r.offset) for r in placed}) == 9_000
+
+
+def test_crowds_just_under_the_threshold(spark, monkeypatch):
+    """A group of near copies, of which many pairs are less similar than 0.8: the same components as by brute force, whatever counts as crowded."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(160)]
+    texts = {i: " ".join(w if rng.random() > rng.choice([0.0, 0.02, 0.05]) else f"x{rng.integers(1 << 30)}" for w in base) for i in range(90)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    stable = common.materialize(docs)
+    sets = {i: five_words(t) for i, t in texts.items()}
+    near = [(i, j) for i in sets for j in sets if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    expect = closure(near, list(sets))
+    for crowd in (4, 1000):
+        monkeypatch.setattr(similar, "CROWD", crowd)
+        got = {r.doc_id: r.component_id for r in similar.similar_components(stable).collect()}
+        assert got == expect
