@@ -21,15 +21,17 @@ class AmbiguousDatesError(ValueError):
     """A column's dates can be read day first or month first."""
 
 
-def date_order(value: Column) -> Column:
+def date_order(value: Column, weight: Column | None = None) -> Column:
     """An aggregate: year_first, day_first, month_first, ambiguous, or null where too few values look like dates.
 
-    Over all values, not a sample: at least three, and four fifths of those that aren't null, must match.
+    Over all values, not a sample: at least three, and four fifths of those that aren't null, must match. A row stands for
+    `weight` values (one if not given).
     """
+    weight = F.lit(1) if weight is None else weight
     text = value.cast("string")
     looks = text.rlike(_DATE)
     first, second = (F.max(F.when(looks, F.regexp_extract(text, _DATE, i).cast("int"))) for i in (1, 2))
-    n, matching = F.count(text), F.count(F.when(looks, 1))
+    n, matching = (F.coalesce(F.sum(F.when(c, weight)), F.lit(0)) for c in (text.isNotNull(), looks))
     return (
         F.when((matching < 3) | (matching * 5 < n * 4), F.lit(None).cast("string"))
         .when(first > 31, "year_first")

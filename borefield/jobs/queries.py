@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geodesy, naming
-from ..operators import checks, levels, monthly, profile, readings, sufficiency, trends
-from ..sources import delimited, inventory, layers
+from ..operators import checks, concordance, levels, monthly, profile, readings, sufficiency, trends
+from ..sources import delimited, folder, inventory, layers
+from ..staging import shared_dir
 from . import bindings, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +136,13 @@ def monthly_median_sparse(spark, d):
     return _rounded(_monthly(spark, d, sparse=True), "value")
 
 
+@query("monthly_median_bounded", _with(DENSE) + "SELECT bore_id, month_idx, round(value, 6) AS value, n FROM monthly")
+def monthly_median_bounded(spark, d):
+    """The same without a task that holds a month: each month's middle is narrowed down."""
+    found = monthly.monthly_median(levels.basis_values(_levels(spark, d)), bounded=True)
+    return _rounded(found, "value")
+
+
 @query("series_coverage", _with(SPARSE) + f"SELECT {COVERAGE} FROM coverage")
 def series_coverage(spark, d):
     return _rounded(monthly.series_coverage(_monthly(spark, d, sparse=True)), "gap_fraction", "span_years")
@@ -271,7 +280,8 @@ def _series(spark, d):
 
 @query("kendall_s", _with(DENSE, _X, stats_sql("x", "x")) + "SELECT bore_id, CAST(n AS INTEGER) AS n, s FROM x_s JOIN x_v USING (bore_id)")
 def kendall_s(spark, d):
-    return trends.mann_kendall(_series(spark, d), variance="classic").select("bore_id", "n", "s")
+    values = _monthly(spark, d).withColumn("value", F.round("value", 9))
+    return concordance.kendall_s(values, "bore_id", ["month_idx"]).withColumn("n", F.col("n").cast("int"))
 
 
 _QUANTITY = "x AS (SELECT l_partkey AS bore_id, l_quantity AS v, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem)"
@@ -290,17 +300,30 @@ _MEDIANS = """x AS (SELECT bore_id, v, row_number() OVER (PARTITION BY bore_id O
   SELECT l_partkey AS bore_id, year(l_shipdate) * 12 + month(l_shipdate) AS m, median(l_quantity) AS v FROM lineitem GROUP BY ALL))"""
 
 
-@query(
-    "tau_b",
-    _with(_MEDIANS, stats_sql("x", "x"))
-    + "SELECT bore_id, s, round(s / sqrt((n * (n - 1) / 2 - tied_pairs) * (n * (n - 1) / 2)), 6) AS tau, round(var, 6) AS var_s FROM x_s JOIN x_v USING (bore_id) WHERE n > 2 AND n * (n - 1) / 2 > tied_pairs",
-)
+_TAU = "SELECT bore_id, s, round(s / sqrt((n * (n - 1) / 2 - tied_pairs) * (n * (n - 1) / 2)), 6) AS tau, round(var, 6) AS var_s FROM x_s JOIN x_v USING (bore_id) WHERE n > 2 AND n * (n - 1) / 2 > tied_pairs"
+
+
+def _tau_b(values, order):
+    counted = trends.tie_correction(values).drop("n")
+    found = concordance.kendall_s(values, "bore_id", order).join(counted, "bore_id").where("n > 2 AND n * (n - 1) / 2 > tied_pairs")
+    tau = concordance.tau_b(F.col("n").cast("double"), F.col("s"), F.col("tied_pairs"))
+    return _rounded(found.select("bore_id", "s", tau.alias("tau"), F.col("classic_variance").alias("var_s")), "tau", "var_s")
+
+
+@query("tau_b", _with(_MEDIANS, stats_sql("x", "x")) + _TAU)
 def tau_b(spark, d):
-    """Monthly medians of quantities have many ties; by month, a series' length is bounded by its years."""
+    """Monthly medians of quantities, which have many ties."""
     line = bindings.table(spark, d, "lineitem")
     readings = line.select(F.col("l_partkey").alias("bore_id"), F.col("l_shipdate").alias("observed_at"), F.col("l_quantity").alias("value"))
-    tested = trends.mann_kendall(monthly.as_series(monthly.monthly_median(readings)), variance="classic").where("var_s > 0")
-    return _rounded(tested, "tau", "var_s").select("bore_id", "s", "tau", "var_s")
+    return _tau_b(monthly.monthly_median(readings), ["month_idx"])
+
+
+@query("tau_b_readings", _with(_QUANTITY, stats_sql("x", "x")) + _TAU)
+def tau_b_readings(spark, d):
+    """Every quantity of a part in order of time: series of any length."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+    values = bindings.table(spark, d, "lineitem").select(F.col("l_partkey").alias("bore_id"), F.col("l_quantity").alias("value"), *order)
+    return _tau_b(values, order)
 
 
 @query(
@@ -512,6 +535,45 @@ def profile_parts(spark, d):
     return profile.profile_columns(bindings.table(spark, d, "part"))
 
 
+#: Tables that are written as delimited text, each with its delimiter, and the columns that hold numbers; the other ones are text.
+_TEXTS = {
+    "region": (",", ["r_regionkey", "r_name"]), "nation": ("\t", ["n_nationkey", "n_name", "n_regionkey"]), "supplier": ("|", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
+    "part": (";", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]), "customer": ("\t", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+    "orders": ("|", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]), "events": (",", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
+}
+_TIMES = ("o_orderdate", "ts")
+_WORDS = ("r_name", "n_name", "s_name", "p_name", "p_brand", "p_type", "c_name", "c_mktsegment", "o_orderstatus", "o_orderpriority", "event_type", "props", *_TIMES)
+
+
+def _inspect_sql() -> str:
+    parts = []
+    for view, (delimiter, columns) in _TEXTS.items():
+        for at, c in enumerate(columns):
+            v = f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c in _TIMES else c
+            head = f"SELECT '{view}' AS source, {at} AS position, '{c}' AS \"column\", chr({ord(delimiter)}) AS delimiter, count(*) AS n_rows, count(*) - count({c}) AS n_null"
+            if c in _WORDS:
+                listed = f"list_sort(list(DISTINCT {v}) FILTER ({c} IS NOT NULL))"
+                tail = f"""'text' AS kind, NULL::DOUBLE AS least, NULL::DOUBLE AS median, NULL::DOUBLE AS greatest, count(DISTINCT {v}) AS n_distinct, {"'year_first'" if c in _TIMES else "NULL::VARCHAR"} AS date_order,
+                CASE WHEN count(DISTINCT {v}) <= 12 THEN array_to_string({listed}, '|') END AS codes, CASE WHEN count(DISTINCT {v}) > 12 THEN array_to_string({listed}[1:3], '|') END AS samples"""
+            else:
+                tail = f"'number' AS kind, min({c})::DOUBLE AS least, median({c}::DOUBLE) AS median, max({c})::DOUBLE AS greatest, NULL::BIGINT AS n_distinct, NULL::VARCHAR AS date_order, NULL::VARCHAR AS codes, NULL::VARCHAR AS samples"
+            parts.append(f"{head}, {tail} FROM {view}")
+    return " UNION ALL ".join(parts)
+
+
+@query("inspect_files", _inspect_sql())
+def inspect_files(spark, d):
+    """Seven tables written as delimited text with four delimiters, each over as many files as it has parts, and inspected in one go."""
+    root = f"{shared_dir(spark)}/inspect-{uuid.uuid4().hex}"
+    paths = []
+    for name, (delimiter, columns) in _TEXTS.items():
+        text = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in _TIMES else F.col(c) for c in columns]
+        bindings.table(spark, d, name).select(text).write.csv(f"{root}/{name}", sep=delimiter, header=True, escape='"', quoteAll=name == "customer")
+        paths.append(f"{root}/{name}")
+    found = folder.inspect_files(spark, paths, by_folder=True)
+    return found.withColumn("source", F.regexp_extract("source", "[^/]*$", 0))
+
+
 @query("row_count", "SELECT count(*) AS n_rows FROM lineitem")
 def row_count(spark, d):
     return delimited.row_count(bindings.table(spark, d, "lineitem"))

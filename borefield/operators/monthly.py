@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .levels import nan_to_null
+from .scan import null_safe, running_sum
+from .selection import exact_medians
 
 
 def month_index(at: Column) -> Column:
@@ -16,13 +18,16 @@ def month_start(month: Column) -> Column:
     return F.make_date(F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
 
 
-def monthly_median(readings: DataFrame, key: str = "bore_id", value: str = "value", at: str = "observed_at") -> DataFrame:
+def monthly_median(readings: DataFrame, key: str = "bore_id", value: str = "value", at: str = "observed_at", bounded: bool = False) -> DataFrame:
     """(key, month_idx, value, n): the exact median of each month that has values, and how many.
 
     Null and nan values are left out; a value without a time makes a row of null month_idx, which still counts as
-    an observation but stands in no month. Keyed by series and month, so one long series is spread over its months.
+    an observation but stands in no month. Keyed by series and month, so one long series is spread over its months. A task holds
+    a month's distinct values unless `bounded`, which narrows all months' middles down over stable `readings`, in more passes.
     """
     clean = readings.select(key, month_index(F.col(at)).alias("month_idx"), nan_to_null(F.col(value)).alias("value")).where("value IS NOT NULL")
+    if bounded:
+        return exact_medians(clean, [key, "month_idx"]).select(key, "month_idx", F.col("median").alias("value"), "n")
     return clean.groupBy(key, "month_idx").agg(F.median("value").alias("value"), F.count("*").alias("n"))
 
 
@@ -81,13 +86,12 @@ def with_positions(monthly: DataFrame, key: str = "bore_id") -> DataFrame:
 def average_rank(df: DataFrame, key: str, value: str) -> DataFrame:
     """`df` with rank: ties share the mean of their ranks; nulls are one tie and come first.
 
-    Equal values are counted before the window, which runs over a key's different values only.
+    Equal values are counted, and the counts are summed along the values by a prefix scan, so a key of any size is ranked by several tasks.
     """
-    counts = df.groupBy(F.col(key).alias("_key"), F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("_key").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select("_key", "_value", (F.sum("_n").over(upto) - (F.col("_n") - 1) / F.lit(2.0)).alias("rank"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(value).eqNullSafe(F.col("_value"))
-    return df.join(ranks, same).drop("_key", "_value")
+    counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
+    before = running_sum(counts, [key], [value], "_less", F.col("_n"))
+    ranks = before.select(key, value, (F.col("_less") + (F.col("_n") + 1) / F.lit(2.0)).alias("rank"))
+    return null_safe(df, ranks, [key, value])
 
 
 def as_series(monthly: DataFrame, key: str = "bore_id") -> DataFrame:

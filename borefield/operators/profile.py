@@ -1,91 +1,80 @@
-"""What a table's columns hold."""
+"""What the columns of tables hold."""
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from functools import reduce
-from itertools import accumulate
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import date_order
+from ..staging import stage
+from .scan import null_safe
+from .selection import exact_medians
 
+# Distinct values up to which they are listed, and how many are shown of more.
 MAX_CODES, SAMPLES = 12, 3
-#: Values that are looked at one by one when a median's neighbourhood is that small; cuts of a larger one.
-FEW, CUTS = 1 << 16, 100
-
 
 _SCHEMA = (
     "column string, kind string, n_rows long, n_null long, least double, median double, greatest double, "
-    "first string, last string, n_distinct long, date_order string, codes array<string>, samples array<string>"
+    "first string, last string, n_distinct long, date_order string, codes string, samples string"
 )
 _TYPES = {c.split()[0]: c.split()[1] for c in _SCHEMA.split(", ")}
 
 
-def _row(**known: Column) -> list[Column]:
-    """The columns of a profile row, null where not given."""
-    return [known.get(c, F.lit(None)).cast(t).alias(c) for c, t in _TYPES.items()]
+def kind_of(kind: T.DataType) -> str:
+    if isinstance(kind, T.NumericType | T.BooleanType):
+        return "number"
+    return "time" if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType) else "text"
 
 
-def exact_median(df: DataFrame, value: Column) -> float | None:
-    """The exact median, mean of the middle two, without a task or driver that sees all values; null for none.
+def text_profile(counts: DataFrame, keys: list[str], max_codes: int = MAX_CODES) -> DataFrame:
+    """(keys, n_distinct, date_order, codes, samples) of text values that were counted: `counts` (keys, v, k).
 
-    Rows are counted between approximate percentiles, and again between percentiles of the part that holds the middle,
-    until that part is small or one value. Each pass leaves a hundredth or so; a value that most rows have ends it at once.
+    Sorted values, joined by |, when there are `max_codes` or fewer, else the SAMPLES least. Only the first values of a key are ranked
+    and gathered; the rest is summed where it lies.
     """
-    values = df.select(value.cast("double").alias("x")).where("x IS NOT NULL")
-    part, size = values, values.count()
-    first, last = (size - 1) // 2, size // 2
-    if not size:
-        return None
-    while size > FEW:
-        found = part.agg(F.array_sort(F.array_distinct(F.percentile_approx("x", [i / CUTS for i in range(1, CUTS)], 100 * CUTS)))).first()[0]
-        cuts = F.array(*map(F.lit, found))
-        # Odd buckets hold one value, a cut; even ones what lies between cuts.
-        bucket = F.size(F.filter(cuts, lambda c: c < F.col("x"))) + F.size(F.filter(cuts, lambda c: c <= F.col("x")))
-        rows = part.groupBy(bucket.alias("at")).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most")).orderBy("at").collect()
-        past = list(accumulate(r.n for r in rows))
-        i, j = bisect_right(past, first), bisect_right(past, last)
-        if i != j or rows[i].least == rows[i].most or rows[i].least != rows[i].least:
-            return (rows[i].most + rows[j].least) / 2
-        first, last, size = first - past[i] + rows[i].n, last - past[i] + rows[i].n, rows[i].n
-        part = values.where(F.col("x").between(rows[i].least, rows[i].most))
-    rows = part.groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect()
-    past = list(accumulate(r.n for r in rows))
-    return (rows[bisect_right(past, first)].x + rows[bisect_right(past, last)].x) / 2
-
-
-def profile_columns(df: DataFrame, max_codes: int = MAX_CODES) -> DataFrame:
+    known = counts.where("v IS NOT NULL")
+    whole = known.groupBy(*keys).agg(F.count("*").alias("n_distinct"), date_order(F.col("v"), F.col("k")).alias("date_order"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("v"))
+    few = known.select(*keys, "v", place.alias("at")).where(F.col("at") <= max(max_codes, SAMPLES))
+    listed = few.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("listed"))
+    short = F.col("n_distinct") <= max_codes
+    codes = F.when(short, F.array_join("listed", "|")).alias("codes")
+    return null_safe(whole, listed, keys).select(*keys, "n_distinct", "date_order", codes, F.when(~short, F.array_join(F.slice("listed", 1, SAMPLES), "|")).alias("samples"))
+
+
+def profile_columns(df: DataFrame, max_codes: int = MAX_CODES, rows: int | None = None) -> DataFrame:
     """A row a column: kind, rows, nulls, least, median, greatest, distinct values, date order, and short code lists.
 
-    Whole columns, no sample. Numbers and booleans get a median; text gets its distinct count and date order, and
-    its sorted values, joined by |, when there are `max_codes` or fewer, else the three least as samples. Distinct values are counted by grouping each
-    column, so partial counts go before the shuffle and no set is gathered that can grow.
+    Whole columns, or those of the first `rows` rows, if given. Numbers and booleans get a median; text gets what `text_profile` tells. All
+    columns share each job: one aggregate of the table, one of its texts by value, and the medians' rounds. `df` must be stable.
     """
-    parts = reduce(DataFrame.unionByName, [part for f in df.schema.fields for part in _profile(df, f, max_codes)])
-    whole = parts.groupBy("column").agg(*(F.max(c).alias(c) for c in _TYPES if c != "column"))
-    many = F.size("codes") > max_codes
-    samples = F.when(many, F.array_join(F.slice("codes", 1, SAMPLES), "|"))
-    return whole.withColumn("samples", samples).withColumn("codes", F.when(~many, F.array_join("codes", "|")))
-
-
-def _profile(df: DataFrame, field: T.StructField, max_codes: int) -> list[DataFrame]:
-    c, name = F.col(f"`{field.name}`"), F.lit(field.name)
-    times = T.DateType | T.TimestampType | T.TimestampNTZType
-    kind = "number" if isinstance(field.dataType, T.NumericType | T.BooleanType) else "time" if isinstance(field.dataType, times) else "text"
-    head = {"column": name, "kind": F.lit(kind), "n_rows": F.count("*"), "n_null": F.count(F.when(c.isNull(), 1))}
-    if kind == "number":
-        x = c.cast("double")
-        return [df.agg(*_row(**head, least=F.min(x), median=F.lit(exact_median(df, x)), greatest=F.max(x)))]
-    if kind == "time":
-        return [df.agg(*_row(**head, first=F.min(c), last=F.max(c)))]
-    values = df.groupBy(c.cast("string").alias("v")).agg(F.count("*").alias("k")).where("v IS NOT NULL")
-    # The max_codes + 1 least values tell whether the list is short.
-    listed = values.select("v").orderBy("v").limit(max_codes + 1).agg(*_row(column=name, codes=F.array_sort(F.collect_list("v"))))
-    counted = values.agg(*_row(column=name, n_distinct=F.count("*")))
-    return [df.agg(*_row(**head, date_order=date_order(c))), counted, listed]
+    df = df if rows is None else stage(df.limit(rows))
+    fields = [(f.name, F.col(f"`{f.name}`"), kind_of(f.dataType)) for f in df.schema.fields]
+    ends = {"number": lambda c: (F.min(c.cast("double")), F.max(c.cast("double"))), "time": lambda c: (F.min(c), F.max(c)), "text": lambda c: (F.lit(None), F.lit(None))}
+    sums = []
+    for name, c, kind in fields:
+        low, high = ends[kind](c)
+        number = kind == "number"
+        known = {
+            "column": F.lit(name), "kind": F.lit(kind), "n_rows": F.count("*"), "n_null": F.count(F.when(c.isNull(), 1)),
+            "least": low if number else F.lit(None), "greatest": high if number else F.lit(None),
+            "first": F.lit(None) if number else low, "last": F.lit(None) if number else high,
+        }
+        sums.append(F.struct(*(v.cast(_TYPES[k]).alias(k) for k, v in known.items())))
+    whole = df.agg(F.array(*sums).alias("columns")).select(F.explode("columns").alias("c")).select("c.*")
+
+    def long(kind: str, to: str, value: str) -> DataFrame:
+        """(column, value) of all columns of a kind, none missing."""
+        entries = [F.struct(F.lit(name).alias("column"), c.cast(to).alias(value)) for name, c, own in fields if own == kind]
+        empty = F.array().cast(f"array<struct<column:string,{value}:{to}>>")
+        return df.select(F.explode(F.array(*entries) if entries else empty).alias("e")).select("e.column", f"e.{value}").where(F.col(value).isNotNull())
+
+    medians = exact_medians(long("number", "double", "value"), ["column"]).select("column", "median")
+    texts = text_profile(stage(long("text", "string", "v").groupBy("column", "v").agg(F.count("*").alias("k"))), ["column"], max_codes)
+    found, is_text = whole.join(medians, "column", "left").join(texts, "column", "left"), F.col("kind") == "text"
+    empty = {"n_distinct": F.when(is_text, F.coalesce("n_distinct", F.lit(0))), "codes": F.when(is_text & F.col("n_distinct").isNull(), "").otherwise(F.col("codes"))}
+    return found.withColumns(empty).select(*_TYPES)
 
 
 def stored_srids(df: DataFrame, geometry: str = "geom", srid: str = "srid") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .levels import BASES, choose_basis, derive_levels, basis_values
+from .levels import BASES, choose_basis, nan_to_null, require_columns, require_unique
 from .monthly import as_series, coverage_columns, monthly_median
 from .sufficiency import Thresholds, assess
 
@@ -70,12 +70,16 @@ def bore_trends(
 ) -> DataFrame:
     """One audited row for each bore, readings or none.
 
-    Readings meet their collar (a join that keeps all), collapse to monthly medians (the one large shuffle, keyed by
-    bore and month), then to one row a bore. Rows that fail the gate carry reasons and no statistics. Readings of
-    unknown bores give no row. `decimals` rounds what is compared and ranked (see the kernel); None takes values as they are.
+    Readings collapse to monthly medians of their depth (the one large shuffle, keyed by bore and month), then to one row a bore,
+    and only that row meets the collar: a bore's level is its collar less the depth, in every month. Rows that fail the gate carry reasons and no
+    statistics. Readings of unknown bores give no row. `decimals` rounds what is compared and ranked (see the kernel); None takes
+    values as they are.
     """
-    known = readings.where("bore_id IS NOT NULL")
-    monthly = monthly_median(basis_values(derive_levels(known, bores, check)))
+    require_columns(readings, "bore_id", "depth_to_water_m")
+    require_columns(bores, "bore_id", "collar_rl_m_ahd")
+    if check:
+        require_unique(bores.where("bore_id IS NOT NULL"), "bore_id")
+    monthly = monthly_median(readings.where("bore_id IS NOT NULL"), value="depth_to_water_m")
     gap = F.expr("array_max(transform(slice(months, 2, size(months)), (m, i) -> m - months[i] - 1))")
     pairs = F.array_sort(F.collect_list(F.when(F.col("month_idx").isNotNull(), F.struct("month_idx", "value"))))
     stats_ = (
@@ -85,7 +89,10 @@ def bore_trends(
         .withColumn("longest_gap_months", F.when(F.size("months") > 1, gap).otherwise(0).cast("long"))
         .drop("series")
     )
-    every = bores.select("bore_id", choose_basis(F.col("collar_rl_m_ahd")).alias("basis")).join(stats_, "bore_id", "left")
+    collar = nan_to_null(F.col("collar_rl_m_ahd")).alias("collar")
+    level = F.when(F.col("collar").isNull(), F.col("values")).otherwise(F.transform("values", lambda depth: F.col("collar") - depth))
+    known = bores.select("bore_id", choose_basis(F.col("collar_rl_m_ahd")).alias("basis"), collar)
+    every = known.join(stats_, "bore_id", "left").withColumn("values", level).drop("collar")
     zero = {"n_observations": 0, "n_months_present": 0, "n_months_total": 0, "longest_gap_months": 0, "distinct_years": 0, "months_covered": 0}
     judged = assess(every.fillna(zero | {"gap_fraction": 1.0, "span_years": 0.0}), thresholds)
     ok = F.col("sufficient")

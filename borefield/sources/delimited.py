@@ -28,7 +28,7 @@ class Source:
 
 
 def missing_to_null(c: Column) -> Column:
-    return F.when(~F.trim(c).isin(MISSING), c)
+    return F.when(~c.isin(MISSING), c)
 
 
 def typed(df: DataFrame, source: Source) -> DataFrame:

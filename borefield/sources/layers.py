@@ -17,13 +17,16 @@ class LayerError(ValueError):
 
 
 def select_layer(df: DataFrame, layer: str | None = None) -> DataFrame:
-    """The named layer, or the only one; several and none named raise."""
-    if layer is None:
-        names = [r.layer for r in df.select("layer").distinct().orderBy("layer").limit(3).collect()]
-        if len(names) != 1:
-            raise LayerError(f"{len(names)} or more layers ({names}) and none named")
-        layer = names[0]
-    return df.where(F.col("layer") == layer)
+    """The named layer, or the only one; several and none named raise, as does a name that no row has."""
+    if layer is not None:
+        found = df.where(F.col("layer") == layer)
+        if not found.head(1):
+            raise LayerError(f"no layer {layer!r}")
+        return found
+    names = [r.layer for r in df.select("layer").distinct().orderBy("layer").limit(3).collect()]
+    if len(names) != 1:
+        raise LayerError(f"{len(names)} or more layers ({names}) and none named")
+    return df.where(F.col("layer") == names[0])
 
 
 def write_layers(path: str, layers: dict[str, DataFrame]) -> dict[str, int]:

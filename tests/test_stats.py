@@ -73,18 +73,6 @@ def test_two_passes_remove_the_season_and_keep_the_slope():
     assert np.std(flat - slope * np.arange(120)) < 0.01
 
 
-def test_medians_in_several_passes(spark, monkeypatch):
-    from borefield.operators import profile
-
-    monkeypatch.setattr(profile, "FEW", 8)
-    rng = np.random.default_rng(3)
-    cases = [rng.normal(size=3001), rng.integers(0, 5, 2000), np.array([7.0] * 900 + [1.0, 2.0]), np.array([1.0] * 500 + [2.0] * 500), np.array([3.0]), np.arange(20)]
-    for x in cases:
-        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
-        assert profile.exact_median(df, F.col("x")) == float(np.median(x))
-    assert profile.exact_median(spark.createDataFrame([], "x double"), F.col("x")) is None
-
-
 def test_average_rank_of_ties_and_nulls(spark):
     rows = [(1, 5.0), (1, 5.0), (1, 2.0), (1, None), (2, None), (2, None), (None, 1.0)]
     got = monthly.average_rank(spark.createDataFrame(rows, "k int, v double"), "k", "v").collect()
