@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .slopes import Slopes
+
 VARIANCES = ("classic", "hamed_rao")
 TEST = "n int, s double, var_s double, z double, p_value double, tau double, factor double, effective_n double"
 SLOPE = "slope double, lower double, upper double"
@@ -52,23 +54,18 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
 
 
 def sens_slope(x: np.ndarray, t: np.ndarray, alpha: float = 0.05) -> tuple[float, float, float]:
-    """Median of the pairs' slopes and its distribution-free interval; nan where no two times differ.
+    """Median of the pairs' slopes and its distribution-free interval; nan where no two times differ. Pairs of long series aren't listed.
 
     The interval's ranks use the classic variance, whichever the test uses.
     """
-    parts = []
-    for i in range(len(x) - 1):
-        dt = t[i + 1 :] - t[i]
-        ok = dt != 0
-        parts.append((x[i + 1 :] - x[i])[ok] / dt[ok])
-    slopes = np.concatenate(parts) if parts else np.zeros(0)
-    if not len(slopes):
+    slopes = Slopes(x, t)
+    n = slopes.total
+    if not n:
         return math.nan, math.nan, math.nan
-    slopes.sort()
-    n, c = len(slopes), quantile(alpha) * math.sqrt(max(classic_variance(x), 0.0))
+    c = quantile(alpha) * math.sqrt(max(classic_variance(x), 0.0))
     low, high = (min(max(r, 0), n - 1) for r in (math.floor((n - c) / 2), math.ceil((n + c) / 2)))
-    middle = float(slopes[n // 2]) if n % 2 else (float(slopes[n // 2 - 1]) + float(slopes[n // 2])) / 2
-    return middle, float(slopes[low]), float(slopes[high])
+    before, after, lower, upper = slopes.kth([(n - 1) // 2, n // 2, low, high])
+    return (before if n % 2 else (before + after) / 2), lower, upper
 
 
 def _rounded(x: np.ndarray, decimals: int | None) -> np.ndarray:

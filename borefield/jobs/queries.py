@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, geodesy, naming
-from ..operators import checks, concordance, levels, monthly, profile, readings, sufficiency, trends
+from ..operators import autocorrelation, checks, concordance, levels, monthly, profile, readings, sufficiency, trends
 from ..sources import delimited, folder, inventory, layers
 from ..staging import shared_dir
 from . import bindings, tables
@@ -359,7 +359,11 @@ def mann_kendall(spark, d):
 
 @query("hamed_rao_factor", _with(DENSE, _X, *_ROBUST) + "SELECT bore_id, round(factor, 6) AS factor, round(effective_n, 6) AS effective_n FROM x_m")
 def hamed_rao_factor(spark, d):
-    return _rounded(trends.mann_kendall(_series(spark, d), decimals=6), "factor", "effective_n").select("bore_id", "factor", "effective_n")
+    """Detrended by the slope a position; ranks and lags on Spark."""
+    series = _series(spark, d).withColumn("t", F.transform("values", lambda _, i: i.cast("double")))
+    sloped = trends.sens_slope(series, "t").select("bore_id", "slope", F.posexplode("values").alias("position", "value"))
+    flat = sloped.select("bore_id", "position", F.round(F.col("value") - F.coalesce("slope", F.lit(0.0)) * F.col("position"), 6).alias("value"))
+    return _rounded(autocorrelation.variance_factor(flat, "bore_id"), "factor", "effective_n").select("bore_id", "factor", "effective_n")
 
 
 # Deseasonalising and the flagship

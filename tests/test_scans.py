@@ -170,3 +170,28 @@ def test_a_layer_that_is_not_there(spark):
     assert select_layer(df, "bores").count() == 1
     with pytest.raises(LayerError):
         select_layer(df, "wells")
+
+
+def test_lags_up_to_the_first_insignificant_one(spark, monkeypatch):
+    """The same factors as the kernel's; a series that has stopped is not advanced again."""
+    from borefield.functions import stats
+    from borefield.operators import autocorrelation
+
+    rng = np.random.default_rng(8)
+
+    def walk(n, phi):
+        x = [0.0]
+        for e in rng.normal(size=n - 1):
+            x.append(phi * x[-1] + e)
+        return np.round(x, 2)
+
+    series = {1: walk(120, 0.9), 2: rng.normal(size=90).round(1), 3: np.ones(30), 4: walk(3, 0.5), 5: walk(200, 0.99), 6: walk(4, 0.2), None: walk(60, 0.8)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "k int, position int, value double")
+    advanced, real = [], autocorrelation._advanced
+    monkeypatch.setattr(autocorrelation, "_advanced", lambda centred, frontier, *a: advanced.append({r.k for r in frontier.select("k").collect()}) or real(centred, frontier, *a))
+    got = {r.k: r for r in autocorrelation.variance_factor(df, "k", lags=2).collect()}
+    assert set(got) == set(series)
+    for k, x in series.items():
+        assert got[k].factor == pytest.approx(stats.hamed_rao_factor(x, 0.0), rel=1e-12), k
+        assert got[k].effective_n == pytest.approx(len(x) / got[k].factor)
+    assert 3 not in advanced[0] and 4 not in advanced[0] and len(advanced[-1]) < len(advanced[0])
