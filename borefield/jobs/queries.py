@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -436,6 +437,46 @@ def trend_geom(spark, d):
     return _rounded(tables.trend_layer(bore_trends(spark, d), bores), "x", "y").drop("collar_rl_m_ahd")
 
 
+_WRITTEN = ("bore_id", "basis", "insufficient_reason", "n_observations", "n_months_present", "span_years", "distinct_years", "gap_fraction", "longest_gap_months")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("write_trends", f"SELECT {', '.join(_WRITTEN)} FROM ({trends_sql(sparse=True)})")
+def write_trends(spark, d):
+    """The trend table as written and read again."""
+    path = _scratch(spark, "trends")
+    tables.write_trends(bindings.readings(spark, d, True), bindings.bores(spark, d, True), path, bindings.LIMITS)
+    return _rounded(spark.read.parquet(path).select(*_WRITTEN), "span_years", "gap_fraction")
+
+
+@query(
+    "write_layers",
+    _with(DENSE) + "SELECT layer, CAST(7853 AS INTEGER) AS srid, count(*) AS n_rows, count(collar_rl_m_ahd) AS n_known FROM (SELECT 'bore' AS layer, * FROM bore UNION ALL SELECT 'unmeasured', * FROM bore WHERE collar_rl_m_ahd IS NULL) GROUP BY layer",
+)
+def write_layers(spark, d):
+    """Two versions of the bores' layers published over each other; what readers see is the second."""
+    path, bores = _scratch(spark, "maps"), tables.bore_table(_raw_bores(spark, d), "supplier", "EPSG:7853")
+    layers.publish_version(path, {"bore": bores.where("bore_id % 2 = 0"), "gone": bores})
+    layers.publish_version(path, {"bore": bores, "unmeasured": bores.where("collar_rl_m_ahd IS NULL")})
+    found = [df.withColumn("layer", F.lit(name)) for name, df in layers.published(spark, path).items()]
+    return reduce(DataFrame.unionByName, found).groupBy("layer", "srid").agg(F.count("*").alias("n_rows"), F.count("collar_rl_m_ahd").alias("n_known"))
+
+
+@query("geometry_columns", "SELECT 'bore' AS \"table\", c AS \"column\", 7853 AS declared, count(*) AS n_rows, count(*) AS n_as_declared FROM supplier CROSS JOIN (VALUES ('x'), ('y')) t(c) GROUP BY c")
+def geometry_columns(spark, d):
+    """Declared codes of the bore table's coordinates as stored, with how many rows have them."""
+    path, bores = _scratch(spark, "bores"), tables.bore_table(_raw_bores(spark, d), "supplier", "EPSG:7853")
+    bores.withMetadata("x", {"srid": 7853}).withMetadata("y", {"srid": 7853}).write.parquet(path)
+    stored = spark.read.parquet(path)
+    declared = spark.createDataFrame(profile.geometry_columns({"bore": stored}), "table string, column string, declared int")
+    counts = stored.groupBy("srid").agg(F.count("*").alias("n"))
+    met = declared.crossJoin(counts)  # a row a code
+    return met.groupBy("table", "column", "declared").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("srid") == F.col("declared"), F.col("n")).otherwise(0)).alias("n_as_declared"))
+
+
 # Names, dates, profiles
 
 
