@@ -80,25 +80,34 @@ def unproject(x: Column, y: Column, zone: Column) -> tuple[Column, Column]:
     return F.degrees(lam) + (zone * 6.0 - 183.0), F.degrees(phi)
 
 
-def shift_by_grid(points: DataFrame, nodes: DataFrame, step: float) -> DataFrame:
+def shift_cells(nodes: DataFrame) -> DataFrame:
+    """(_i, _j, _a, _b, _c, _d): each cell whose four corners are in the node table, with their shifts; nodes are folded once."""
+    corners = {"_a": (0, 0), "_b": (1, 0), "_c": (0, 1), "_d": (1, 1)}
+    each = [F.struct(F.lit(name).alias("corner"), (F.col("i") - di).alias("_i"), (F.col("j") - dj).alias("_j")) for name, (di, dj) in corners.items()]
+    spread = nodes.select(F.struct("dlon", "dlat").alias("s"), F.explode(F.array(*each)).alias("e"))
+    folded = spread.groupBy("e._i", "e._j").agg(*(F.max(F.when(F.col("e.corner") == name, F.col("s"))).alias(name) for name in corners))
+    return folded.where(" AND ".join(f"{name} IS NOT NULL" for name in corners))
+
+
+def shift_by_grid(points: DataFrame, nodes: DataFrame, step: float, where: Column | None = None) -> DataFrame:
     """Add the bilinear shift of a node table (i, j, dlon, dlat), node (i, j) at (i step, j step) degrees, to lon and lat.
 
-    Points whose four nodes aren't all there get null coordinates: never a rougher shift. The table is joined by
-    cell, so neither side need fit anywhere.
+    Points whose four nodes aren't all there get null coordinates: never a rougher shift. One join by cell, so neither side need
+    fit anywhere. Points that `where` isn't true for stay as they are: each has a cell of its own that no table has, so they
+    are spread over all tasks and meet nothing.
     """
-    cell = points.withColumns({"_i": F.floor(F.col("lon") / step), "_j": F.floor(F.col("lat") / step)})
-    here = nodes.select("i", "j", F.struct("dlon", "dlat").alias("s"))
-    for name, di, dj in (("_a", 0, 0), ("_b", 1, 0), ("_c", 0, 1), ("_d", 1, 1)):
-        corner = here.select((F.col("i") - di).alias("_i"), (F.col("j") - dj).alias("_j"), F.col("s").alias(name))
-        cell = cell.join(corner, ["_i", "_j"], "left")
+    moves = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    none = -(F.lit(1 << 40) + F.pmod(F.xxhash64("lon", "lat"), F.lit(1 << 30)))
+    cell = points.withColumns({"_moves": moves, "_i": F.when(moves, F.floor(F.col("lon") / step)).otherwise(none), "_j": F.floor(F.col("lat") / step)})
+    met = cell.join(shift_cells(nodes), ["_i", "_j"], "left")
     u, v = F.col("lon") / step - F.col("_i"), F.col("lat") / step - F.col("_j")
 
     def at(part: str) -> Column:
         a, b, c, d = (F.col(f"{n}.{part}") for n in ("_a", "_b", "_c", "_d"))
         return a * (1 - u) * (1 - v) + b * u * (1 - v) + c * (1 - u) * v + d * u * v
 
-    moved = {"lon": F.col("lon") + at("dlon"), "lat": F.col("lat") + at("dlat")}
-    return cell.withColumns(moved).drop("_i", "_j", "_a", "_b", "_c", "_d")
+    moved = {c: F.when(F.col("_moves"), F.col(c) + at(f"d{c}")).otherwise(F.col(c)) for c in ("lon", "lat")}
+    return met.withColumns(moved).drop("_moves", "_i", "_j", "_a", "_b", "_c", "_d")
 
 
 def require_known_crs(points: DataFrame, nodes: DataFrame | None) -> None:
@@ -122,9 +131,7 @@ def to_grid_xy(points: DataFrame, nodes: DataFrame | None = None, step: float =
     lon, lat = unproject(F.col("x"), F.col("y"), zone)
     moved = points.withColumns({"lon": F.when(zone.isNull(), F.col("x")).otherwise(lon), "lat": F.when(zone.isNull(), F.col("y")).otherwise(lat)})
     if nodes is not None:
-        shifted = shift_by_grid(moved, nodes, step)
-        old = datum_family(F.col("epsg")) == "GDA94"
-        moved = shifted.where(old).unionByName(moved.where(~old))
+        moved = shift_by_grid(moved, nodes, step, datum_family(F.col("epsg")) == "GDA94")
     east, north = project(F.col("lon"), F.col("lat"))
     same = F.col("epsg") == GRID_SRID
     return moved.withColumns({"x": F.when(same, F.col("x")).otherwise(east), "y": F.when(same, F.col("y")).otherwise(north)}).withColumn("srid", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.lit(GRID_SRID))).drop("lon", "lat")

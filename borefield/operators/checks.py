@@ -62,13 +62,33 @@ def check_bores(bores: DataFrame) -> DataFrame:
 
 
 def check_readings(readings: DataFrame, bores: DataFrame) -> DataFrame:
+    """Row rules, one reading a bore and time, and a bore for each reading: one scan of the readings and one exchange.
+
+    Every reading gives its own key, its bore's key and the rules it breaks; bores give theirs. All are counted by key, in
+    part before the exchange, so a bore with a third of the readings is one row a task.
+    """
     something = F.col("depth_to_water_m").isNotNull() | F.col("level_m_ahd").isNotNull()
     rules = [
         *_null(readings, "water_level", "bore_id", "observed_at", "source_file", "loaded_at"),
         ("water_level.depth_or_level", something, F.col("observed_at")),
     ]
-    found = [_twice(readings, "water_level.unique", "bore_id", "observed_at"), _rows(readings, "bore_id", *rules), _orphans(readings, "water_level.foreign_key", bores)]
-    return reduce(DataFrame.unionByName, found)
+    unique, parent = "water_level.unique", "water_level.foreign_key"
+    bore, time = F.col("bore_id").cast("string"), F.col("observed_at").cast("string")
+
+    def entry(rule: str, key: Column, detail: Column, applies: Column) -> Column:
+        return F.when(applies, F.struct(F.lit(rule).alias("rule"), key.alias("key"), detail.cast("string").alias("detail")))
+
+    has_bore = F.col("bore_id").isNotNull()
+    keys = [entry(unique, bore, time, has_bore & F.col("observed_at").isNotNull()), entry(parent, bore, F.lit(None), has_bore)]
+    broken = [entry(rule, bore, detail, ~F.coalesce(holds, F.lit(True))) for rule, holds, detail in rules]
+    told = readings.select(F.explode(F.array_compact(F.array(*keys, *broken))).alias("e")).select("e.*", F.lit(False).alias("known"))
+    known = bores.where("bore_id IS NOT NULL").select(F.lit(parent).alias("rule"), F.col("bore_id").cast("string").alias("key"), F.lit(None).cast("string").alias("detail"), F.lit(True).alias("known"))
+    counted = told.unionByName(known).groupBy("rule", "key", "detail").agg(F.count(F.when(~F.col("known"), 1)).alias("n"), F.max("known").alias("known"))
+    kept = counted.where(F.when(F.col("rule") == unique, F.col("n") > 1).when(F.col("rule") == parent, ~F.col("known")).otherwise(True))
+    is_key, n = F.col("rule").isin(unique, parent), F.col("n").cast("string")
+    key = F.when(F.col("rule") == unique, F.concat_ws("|", "key", "detail")).otherwise(F.col("key"))
+    times = F.when(is_key, F.array(F.lit(1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), "n"))  # a row for each reading that breaks a rule of rows
+    return kept.select("rule", key.alias("key"), F.when(is_key, n).otherwise(F.col("detail")).alias("detail"), F.explode(times)).drop("col")
 
 
 def check_trends(trends: DataFrame, bores: DataFrame) -> DataFrame:
