@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 _LIBC = ctypes.CDLL(None)
 #: Bytes of text handled at once inside an Arrow task.
 BATCH_BYTES = 4 << 20
@@ -25,24 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="borefield-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read it again.
 
     Later stages then restart from files and not from executors that may be lost.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stage(df)
 
 
 def spread_join(rows: DataFrame, keys: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
@@ -85,11 +74,30 @@ def hold(owner: str, forget: Callable[[], None] = lambda: None) -> None:
 def give_back() -> None:
     """What this process has freed goes back to the system, where its C library can do that."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """What this process has freed goes back without a search for what else could be freed: cheap enough for each batch."""
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function that gives back what it has freed after each batch it yields and when its task ends, so that idle workers are small."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            trim()
+        give_back()
+
+    return tidied
+
+
 def by_bytes(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of about `limit` bytes of text; one long text is a run alone."""
     if not batch.num_rows:
