@@ -159,15 +159,6 @@ def slope_udf(alpha: float = 0.05):
     return run
 
 
-def deseasonalise_udf():
-    @F.pandas_udf("array<double>")
-    def run(months: pd.Series, values: pd.Series) -> pd.Series:
-        pairs = zip(months, values, strict=True)
-        return pd.Series([deseasonalise(np.asarray(m, np.int64), np.asarray(v, float)) if len(m) else np.zeros(0) for m, v in pairs])
-
-    return run
-
-
 def trend_udf(alpha: float, variance: str, decimals: int | None):
     """One pass over a series: seasonal part out if asked, the test, and the slope a year.
 

@@ -380,8 +380,8 @@ season AS (SELECT x.bore_id, x.month_idx, x.i, x.n, v - c AS v FROM x JOIN clim
 
 @query("deseasonalise", _with(DENSE, _X, season_sql()) + "SELECT bore_id, month_idx, round(v, 9) AS value FROM season")
 def deseasonalise(spark, d):
-    pairs = trends.deseasonalise(_series(spark, d)).select("bore_id", F.explode(F.arrays_zip("months", "values")).alias("p"))
-    return pairs.select("bore_id", F.col("p.months").alias("month_idx"), F.round("p.values", 9).alias("value"))
+    values = _monthly(spark, d).withColumn("value", F.round("value", 9))
+    return trends.deseasonalise(values).withColumn("value", F.round("value", 9))
 
 
 def trends_sql(sparse: bool) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from .levels import BASES, choose_basis, nan_to_null, require_columns, require_unique
 from .monthly import as_series, coverage_columns, monthly_median
+from .scan import null_safe
 from .sufficiency import Thresholds, assess
 
 CLASSES = ("rising", "falling", "no_trend", "insufficient_data")
@@ -41,9 +42,20 @@ def sens_slope(series: DataFrame, times: str, alpha: float = 0.05) -> DataFrame:
     return series.withColumn("t", stats.slope_udf(alpha)("values", times)).select(*series.columns, "t.*")
 
 
-def deseasonalise(series: DataFrame) -> DataFrame:
-    """(key, months, values) with the two-pass climatology taken out of the values."""
-    return series.withColumn("values", stats.deseasonalise_udf()("months", "values"))
+def deseasonalise(monthly: DataFrame, key: str = "bore_id") -> DataFrame:
+    """`monthly` (key, month_idx, value) with the season taken out: values less the climatology of their detrended copy.
+
+    The slope of a key, by months since its first, takes the trend out; medians by month of the year, grouped by key and month, are the
+    season; both meet the values by their keys. Under three values nothing is detrended.
+    """
+    known = monthly.where("month_idx IS NOT NULL").select(key, "month_idx", "value")
+    series = as_series(known, key).withColumn("t", F.transform("months", lambda m: (m - F.col("months")[0]).cast("double")))
+    slope = F.when(F.size("values") >= 3, F.col("slope"))
+    trend = sens_slope(series, "t").select(key, F.col("months")[0].alias("first"), F.coalesce(F.when(~F.isnan(slope), slope), F.lit(0.0)).alias("slope"))
+    flat = null_safe(known, trend, [key]).withColumn("value", F.col("value") - F.col("slope") * (F.col("month_idx") - F.col("first")))
+    season = flat.groupBy(key, (F.col("month_idx") % 12).alias("moy")).agg(F.median("value").alias("offset"))
+    met = null_safe(known.withColumn("moy", F.col("month_idx") % 12), season, [key, "moy"])
+    return met.select(key, "month_idx", (F.col("value") - F.col("offset")).alias("value"))
 
 
 def tie_correction(values: DataFrame, key: str = "bore_id", value: str = "value") -> DataFrame:
