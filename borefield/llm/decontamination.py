@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, hold, id_text, table
+from .common import by_bytes, hold, id_text, table, tidy
 
 #: Together these hit every 13 words of which any two are substituted (found by trying all masks of six words).
 MASKS = ("11101011", "11001111")
@@ -134,6 +134,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for block in seeded_blocks(benchmark):
 
+        @tidy
         def run(batches, block=block):
             hold("decontamination", _MEMO.clear)
             for batch in batches:
@@ -155,6 +156,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that overlap no benchmark item, all columns as they are."""
     for block in seeded_blocks(benchmark):
 
+        @tidy
         def run(batches, block=block):
             hold("decontamination", _MEMO.clear)
             for batch in batches:

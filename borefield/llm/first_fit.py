@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, id_text, table
+from .common import by_bytes, id_text, table, tidy
 from .tokenizing import encoder
 
 #: Tokens of a group; the last one of a task may have fewer, a longer document makes a larger one.
@@ -142,6 +142,7 @@ def pack_first_fit(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
+    @tidy
     def run(batches):
         sequence = 0
         for doc_ids, sizes, ids in _groups(batches, encoder(tokenizer_path), end_id, group):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, id_text, materialize, table
+from .common import by_bytes, id_text, materialize, table, tidy
 from .tokenizing import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -29,6 +29,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     Null and empty texts give one piece of one id. Repeated rows give pieces each.
     """
 
+    @tidy
     def run(batches):
         own = encoder(tokenizer_path)
         for batch in batches:

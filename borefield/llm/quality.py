@@ -146,7 +146,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 
 
 def score_quality(docs: DataFrame, model: QuadraticModel) -> DataFrame:
-    """(doc_id, score) for each row of `docs`; map-only. Null and empty texts have the statistics of no words."""
+    """(doc_id, score) for each row of `docs`; map-only. Null and empty texts have the statistics of no words.
+
+    Texts count whole, however long; repeated rows are scored each; columns but doc_id and text are left out, whatever their names.
+    """
 
     def run(batches):
         for batch in batches:

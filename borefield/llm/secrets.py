@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_bytes, id_text, table
+from .common import by_bytes, id_text, table, tidy
 
 #: Kinds in the order that breaks ties; the method adds `literal`.
 KINDS = ("assign", "access", "hex", "literal")
@@ -285,6 +285,7 @@ def redact_secrets(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
 
     names, schema = docs.columns, docs.schema
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch):

@@ -4,7 +4,7 @@ A pair of similarity 0.8 differs in about 15 % of SimHash bits, far beyond what
 reach. So fingerprints here have `BITS` = 4,096 bits, in which TABLES blocks of WIDTH bits are compared: the covering code of a
 block is the trivial one (each value is an anchor, covering radius and threshold 0), which at this distance finds more pairs for
 each row sent than codes of radius 1 or 3 do. A pair with a share p of differing bits meets at an anchor of some block
-with probability 1 - (1 - (1 - p)^WIDTH)^TABLES. Those that meet are compared by 512 bits, and what may be similar by its whole
+with probability 1 - (1 - (1 - p)^WIDTH)^TABLES. Those that meet are compared by COMPARED bits, and what may be similar by its whole
 shingle sets. Fingerprints take runs of three words, which an edit disturbs less; the sets take five.
 
 All bits of a fingerprint cost one pass: a shingle's bits are a row of a Hadamard matrix, given by its hash with a sign,
@@ -21,15 +21,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, hold, id_text, materialize, small_join, spread_join
+from .common import by_bytes, hold, id_text, materialize, small_join, spread_join, tidy
 from .simhash import components
 from .words import by_text, hashed_words, shingles
 
 SIMILARITY, SHINGLE, FINGERPRINT_SHINGLE = 0.8, 5, 3
-BITS, TABLES, WIDTH, COMPARED = 4096, 120, 24, 512
+BITS, TABLES, WIDTH, COMPARED = 4096, 120, 24, 1024
 #: Differing bits of COMPARED up to which a pair may be similar: four deviations above the mean at SIMILARITY.
 _P = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 MAY_DIFFER = math.floor(COMPARED * _P + 4 * math.sqrt(COMPARED * _P * (1 - _P)))
+#: An anchor of more nodes is crowded: its nodes are compared in squares of this side, and before that with leads, in TURNS turns of one in SHARES anchors.
+CROWD, TURNS, SHARES = 64, 3, 8
 #: Bytes of text handled at once, fingerprints made at once.
 TEXT_BYTES, _TOGETHER = 1 << 20, 128
 _SIDE = math.isqrt(BITS)
@@ -66,6 +68,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(whole.ravel()), whole.shape[1]).cast(pa.list_(pa.from_numpy_dtype(whole.dtype)))
 
 
+@tidy
 def _sketches(batches):
     hold("similar")
     for batch in batches:
@@ -83,6 +86,7 @@ def _sketches(batches):
             yield pa.record_batch([*ids, _lists(keys), _lists(compared)], ["doc_id", "rank", "node", "keys", "bits"])
 
 
+@tidy
 def _grams(batches):
     hold("similar")
     for batch in batches:
@@ -108,19 +112,49 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tenths: int = round(10 * SIMILARITY)) -> DataFrame:
     """Of (a, b) those whose shingle sets are similar enough, by whole numbers."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("first_id").alias("doc_id")), "node")
+    wanted = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct().join(nodes.select("node", F.col("first_id").alias("doc_id")), "node")
     texts = small_join(docs, materialize(wanted), "doc_id").dropDuplicates(["node"])
     grams = materialize(texts.select("node", "text").mapInArrow(_grams, "node long, grams array<long>"))
     both = F.size(F.array_intersect("x", "y"))
     return materialize(_sides(pairs, grams, "grams").where((10 + tenths) * both >= tenths * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, size, root) at anchors of several components that still have pairs to compare."""
+    placed = materialize(shared.where("size > 2").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return materialize(placed.join(mixed, "key", "left_semi"))
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _led(open_: DataFrame) -> DataFrame:
+    """(a, b): at each anchor one node, chosen by a hash, with those of other components."""
+    first = F.min(F.struct(F.xxhash64("key", "node").alias("hash"), "node", "root")).alias("lead")
+    leads = materialize(open_.groupBy("key").agg(first, F.count("*").alias("n")))
+    return spread_join(open_, leads, "key", open_.count()).where(F.col("root") != F.col("lead.root")).withColumn("b", F.col("lead.node")).select(*_ordered("node", "b")).distinct()
+
+
+def _met(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): at each anchor the plausible pairs across components; a crowded one is cut into squares by its own size.
+
+    Bits lie with the rows, so that only plausible pairs leave the join.
+    """
+    parts = F.ceil(F.col("size") / CROWD).cast("int")
+    rows = materialize(open_.join(nodes.select("node", "bits"), "node").withColumn("parts", parts))
+    a = rows.select("key", F.col("node").alias("a"), F.col("root").alias("of_a"), F.col("bits").alias("x"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    b = rows.select("key", F.col("node").alias("b"), F.col("root").alias("of_b"), F.col("bits").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["key", "part"]).where((F.col("of_a") != F.col("of_b")) & (_differing("x", "y") <= MAY_DIFFER)).select(*_ordered("a", "b")).distinct()
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for each row of `docs`: the least doc_id reachable over links of similarity 0.8 or more.
 
     Texts of equal shingle sets are one node (texts without words are one, too). At each anchor all nodes are first
-    compared with the one of the least rank (a whole number; `docs` may give one, else doc_id, null last); then, where an anchor still holds several components and more than two nodes, pairs across
-    them, an anchor's rows spread over tasks. `docs` is read twice and must be stable; rows of one doc_id must have one text.
+    compared with the one of the least rank (a whole number; `docs` may give one, else doc_id, null last); then, where a crowded anchor still holds several
+    components, with one chosen by a hash, on other anchors each turn; last, pairs across components, an anchor's rows spread over tasks. `docs` is read twice and must be stable; rows of one doc_id must have one text.
     """
     docs = id_text(docs, F.coalesce(F.col("rank" if "rank" in docs.columns else "doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"))
     sketches = materialize(docs.mapInArrow(_sketches, "doc_id long, rank long, node long, keys array<int>, bits array<long>"))
@@ -133,20 +167,22 @@ def similar_components(docs: DataFrame) -> DataFrame:
     buckets = materialize(leads.select("key", F.col("lead.node").alias("lead"), "n"))
     shared = materialize(spread_join(members.drop("rank"), buckets.withColumn("size", F.col("n")), "key", nodes.count() * TABLES))
 
-    tried = materialize(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    tried = materialize(shared.where("node <> lead").select(*_ordered("lead", "node")).distinct())
     edges = _similar(_plausible(tried, nodes), nodes, docs)
     roots = components(edges)
-    placed = materialize(shared.where("size > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = materialize(placed.join(mixed, "key", "left_semi"))
-    parts = 16
-    a = open_.select("key", F.col("node").alias("a"), F.col("root").alias("of_a"), F.pmod("node", F.lit(parts)).cast("int").alias("part"))
-    b = open_.select("key", F.col("node").alias("b"), F.col("root").alias("of_b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    met = a.join(b, ["key", "part"]).where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    was = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(met.join(was, ["a", "b"], "left_anti"))
-    if rest.head(1) and (more := _similar(_plausible(rest, nodes), nodes, docs)).head(1):
-        roots = components(edges.union(more))
+    open_ = _open(shared.drop("lead"), roots)
+    for turn in range(TURNS):  # a crowd of near copies grows together here, so that few pairs across components are left
+        crowded = materialize(open_.where((F.col("size") > CROWD) & (F.pmod(F.xxhash64("key"), F.lit(SHARES)) == turn)))
+        if not crowded.head(1):
+            break
+        led = materialize(_led(crowded).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(led)
+        edges = edges.unionByName(_similar(_plausible(led, nodes), nodes, docs))
+        roots = components(edges)
+        open_ = _open(open_.select("key", "node", "size"), roots)
+    rest = materialize(_met(open_, nodes).join(tried, ["a", "b"], "left_anti"))
+    if rest.head(1) and (more := _similar(rest, nodes, docs)).head(1):
+        roots = components(edges.unionByName(more))
 
     grouped = materialize(nodes.join(roots, "node", "left").select("node", "first_id", "copies", F.coalesce("root", "node").alias("root")))
     least = materialize(grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fit_platt, held_out, hold, id_text, labelled_sample, materialize, table
+from .common import by_bytes, fit_platt, held_out, hold, id_text, labelled_sample, materialize, table, tidy
 
 #: Words are told apart by 2**BITS hash values, so the lexicon's size is bounded however many words there are.
 BITS = 18
@@ -201,6 +201,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     texts have the least evidence; repeated rows are scored each.
     """
 
+    @tidy
     def run(batches):
         hold("toxicity", _MEMO.clear)
         dense = model.lookup()
@@ -227,6 +228,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that score under the threshold, all columns as they are."""
 
+    @tidy
     def run(batches):
         hold("toxicity", _MEMO.clear)
         dense = model.lookup()
