@@ -482,7 +482,7 @@ def geometry_columns(spark, d):
 
 @query(
     "excluded_theme",
-    """WITH n AS (SELECT p_partkey, p_name, CASE p_partkey % 8 WHEN 0 THEN p_name || '_springs' WHEN 1 THEN 'SacredSite' || p_partkey WHEN 2 THEN 'offspring_' || p_name WHEN 3 THEN 'Soak-' || p_type WHEN 4 THEN 'springfield rd' ELSE p_type END AS name FROM part),
+    """WITH n AS (SELECT p_partkey, p_name, CASE p_partkey % 8 WHEN 0 THEN p_name || '_springs' WHEN 1 THEN 'SacredSite' || p_partkey WHEN 2 THEN 'mainspring_' || p_name WHEN 3 THEN 'Soak-' || p_type WHEN 4 THEN 'springbank hall' ELSE p_type END AS name FROM part),
     t AS (SELECT p_partkey, name, list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''))) AS tokens FROM n)
     SELECT p_partkey, name, array_to_string(tokens, ' ') AS tokens, CASE WHEN list_has_any(tokens, ['spring', 'springs']) THEN 'spring' WHEN list_has_any(tokens, ['soak', 'soaks', 'soakage', 'soakages']) THEN 'soakage'
       WHEN list_has_any(tokens, ['sacred', 'sacredsite', 'sacredsites']) THEN 'sacred' END AS theme FROM t""",
@@ -491,7 +491,7 @@ def excluded_theme(spark, d):
     part, k = bindings.table(spark, d, "part"), F.col("p_partkey") % 8
     name = (
         F.when(k == 0, F.concat("p_name", F.lit("_springs"))).when(k == 1, F.concat(F.lit("SacredSite"), F.col("p_partkey").cast("string")))
-        .when(k == 2, F.concat(F.lit("offspring_"), "p_name")).when(k == 3, F.concat(F.lit("Soak-"), "p_type")).when(k == 4, "springfield rd").otherwise(F.col("p_type"))
+        .when(k == 2, F.concat(F.lit("mainspring_"), "p_name")).when(k == 3, F.concat(F.lit("Soak-"), "p_type")).when(k == 4, "springbank hall").otherwise(F.col("p_type"))
     )
     named = part.select("p_partkey", name.alias("name"))
     return named.select("p_partkey", "name", F.array_join(F.array_sort(naming.name_tokens(F.col("name"))), " ").alias("tokens"), naming.excluded_theme(F.col("name")).alias("theme"))
