@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, id_text, materialize, table, tidy
 from .tokenizing import encoder
 
+#: Bytes of text encoded at once: what a worker holds grows with it.
+ENCODED = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,7 +35,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     def run(batches):
         own = encoder(tokenizer_path)
         for batch in batches:
-            for part in by_bytes(batch):
+            for part in by_bytes(batch, limit=ENCODED):
                 found, sizes = own.encode_all(part.column("text").to_pylist())
                 ends = np.cumsum(sizes + 1)
                 ids = np.full(int(ends[-1]), end_id, "<u4")

@@ -26,7 +26,7 @@ from .simhash import components
 from .words import by_text, hashed_words, shingles
 
 SIMILARITY, SHINGLE, FINGERPRINT_SHINGLE = 0.8, 5, 3
-BITS, TABLES, WIDTH, COMPARED = 4096, 120, 24, 1024
+BITS, TABLES, WIDTH, COMPARED = 4096, 120, 24, 512
 #: Differing bits of COMPARED up to which a pair may be similar: four deviations above the mean at SIMILARITY.
 _P = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 MAY_DIFFER = math.floor(COMPARED * _P + 4 * math.sqrt(COMPARED * _P * (1 - _P)))
@@ -110,43 +110,71 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(_sides(pairs, nodes, "bits").where(_differing("x", "y") <= MAY_DIFFER).select("a", "b"))
 
 
+def _grams_of(some: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, grams): the shingle sets of some nodes."""
+    wanted = some.join(nodes.select("node", F.col("first_id").alias("doc_id")), "node")
+    texts = small_join(docs, materialize(wanted), "doc_id").dropDuplicates(["node"])
+    return materialize(texts.select("node", "text").mapInArrow(_grams, "node long, grams array<long>"))
+
+
+def _bounds(open_: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, own, held) of nodes at crowded anchors: how many shingles they have, and how many of them another such node has, too.
+
+    A shingle that no other of them has is in no intersection, which bounds the similarity of a pair by two numbers of each side.
+    """
+    grams = _grams_of(open_.where(F.col("size") > CROWD).select("node").distinct(), nodes, docs)
+    single = grams.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.first("node").alias("node")).where("n = 1")
+    alone = single.groupBy("node").agg(F.count("*").alias("alone"))
+    sized = grams.select("node", F.size("grams").alias("own")).join(alone, "node", "left")
+    return materialize(sized.select("node", "own", (F.col("own") - F.coalesce("alone", F.lit(0))).alias("held")))
+
+
+def _may_be(own_a: str, held_a: str, own_b: str, held_b: str, tenths: int = round(10 * SIMILARITY)) -> Column:
+    """False where the bounds of two nodes rule the similarity out; true where one has none."""
+    return F.coalesce((10 + tenths) * F.least(held_a, held_b) >= tenths * (F.col(own_a) + F.col(own_b)), F.lit(True))
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tenths: int = round(10 * SIMILARITY)) -> DataFrame:
     """Of (a, b) those whose shingle sets are similar enough, by whole numbers."""
-    wanted = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct().join(nodes.select("node", F.col("first_id").alias("doc_id")), "node")
-    texts = small_join(docs, materialize(wanted), "doc_id").dropDuplicates(["node"])
-    grams = materialize(texts.select("node", "text").mapInArrow(_grams, "node long, grams array<long>"))
+    grams = _grams_of(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct(), nodes, docs)
     both = F.size(F.array_intersect("x", "y"))
     return materialize(_sides(pairs, grams, "grams").where((10 + tenths) * both >= tenths * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
 def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, size, root) at anchors of several components that still have pairs to compare."""
-    placed = materialize(shared.where("size > 2").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    """`shared` (key, node, size, ...) with root, at anchors of several components that still have pairs to compare."""
+    placed = materialize(shared.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     return materialize(placed.join(mixed, "key", "left_semi"))
 
 
+def _bounded(open_: DataFrame, bounds: DataFrame, tenths: int = round(10 * SIMILARITY)) -> DataFrame:
+    """`open_` with own and held. A node that can be similar to no other of the crowds leaves crowded anchors, where all are of the crowds, and no others."""
+    may = F.coalesce(10 * F.col("held") >= tenths * F.col("own"), F.lit(True))
+    return materialize(open_.join(bounds, "node", "left").where((F.col("size") <= CROWD) | may))
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def _led(open_: DataFrame) -> DataFrame:
-    """(a, b): at each anchor one node, chosen by a hash, with those of other components."""
-    first = F.min(F.struct(F.xxhash64("key", "node").alias("hash"), "node", "root")).alias("lead")
+    """(a, b): at each anchor one node, chosen by a hash, with those of other components that its bounds allow."""
+    first = F.min(F.struct(F.xxhash64("key", "node").alias("hash"), "node", "root", "own", "held")).alias("lead")
     leads = materialize(open_.groupBy("key").agg(first, F.count("*").alias("n")))
-    return spread_join(open_, leads, "key", open_.count()).where(F.col("root") != F.col("lead.root")).withColumn("b", F.col("lead.node")).select(*_ordered("node", "b")).distinct()
+    return spread_join(open_, leads, "key", open_.count()).where((F.col("root") != F.col("lead.root")) & _may_be("own", "held", "lead.own", "lead.held")).withColumn("b", F.col("lead.node")).select(*_ordered("node", "b")).distinct()
 
 
 def _met(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): at each anchor the plausible pairs across components; a crowded one is cut into squares by its own size.
 
-    Bits lie with the rows, so that only plausible pairs leave the join.
+    Bits and bounds lie with the rows, so that only plausible pairs leave the join.
     """
     parts = F.ceil(F.col("size") / CROWD).cast("int")
     rows = materialize(open_.join(nodes.select("node", "bits"), "node").withColumn("parts", parts))
-    a = rows.select("key", F.col("node").alias("a"), F.col("root").alias("of_a"), F.col("bits").alias("x"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
-    b = rows.select("key", F.col("node").alias("b"), F.col("root").alias("of_b"), F.col("bits").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return a.join(b, ["key", "part"]).where((F.col("of_a") != F.col("of_b")) & (_differing("x", "y") <= MAY_DIFFER)).select(*_ordered("a", "b")).distinct()
+    a = rows.select("key", F.col("node").alias("a"), F.col("root").alias("of_a"), F.col("bits").alias("x"), F.col("own").alias("own_a"), F.col("held").alias("held_a"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    b = rows.select("key", F.col("node").alias("b"), F.col("root").alias("of_b"), F.col("bits").alias("y"), F.col("own").alias("own_b"), F.col("held").alias("held_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["key", "part"]).where((F.col("of_a") != F.col("of_b")) & _may_be("own_a", "held_a", "own_b", "held_b") & (_differing("x", "y") <= MAY_DIFFER)).select(*_ordered("a", "b")).distinct()
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -154,7 +182,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     Texts of equal shingle sets are one node (texts without words are one, too). At each anchor all nodes are first
     compared with the one of the least rank (a whole number; `docs` may give one, else doc_id, null last); then, where a crowded anchor still holds several
-    components, with one chosen by a hash, on other anchors each turn; last, pairs across components, an anchor's rows spread over tasks. `docs` is read twice and must be stable; rows of one doc_id must have one text.
+    components, with one chosen by a hash, on other anchors each turn, unless their own shingles rule them out (`_bounds`); last, pairs across components, an anchor's rows spread over tasks. `docs` is read twice and must be stable; rows of one doc_id must have one text.
     """
     docs = id_text(docs, F.coalesce(F.col("rank" if "rank" in docs.columns else "doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"))
     sketches = materialize(docs.mapInArrow(_sketches, "doc_id long, rank long, node long, keys array<int>, bits array<long>"))
@@ -171,6 +199,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     edges = _similar(_plausible(tried, nodes), nodes, docs)
     roots = components(edges)
     open_ = _open(shared.drop("lead"), roots)
+    open_ = _bounded(open_, _bounds(open_, nodes, docs))
     for turn in range(TURNS):  # a crowd of near copies grows together here, so that few pairs across components are left
         crowded = materialize(open_.where((F.col("size") > CROWD) & (F.pmod(F.xxhash64("key"), F.lit(SHARES)) == turn)))
         if not crowded.head(1):
@@ -179,7 +208,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
         tried = tried.unionByName(led)
         edges = edges.unionByName(_similar(_plausible(led, nodes), nodes, docs))
         roots = components(edges)
-        open_ = _open(open_.select("key", "node", "size"), roots)
+        open_ = _open(open_.drop("root"), roots)
     rest = materialize(_met(open_, nodes).join(tried, ["a", "b"], "left_anti"))
     if rest.head(1) and (more := _similar(rest, nodes, docs)).head(1):
         roots = components(edges.unionByName(more))
