@@ -364,7 +364,7 @@ def test_contamination(spark, texts):
 def test_substitutions_are_tolerated(spark, odd):
     item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike".split()
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "two words")], "item_id long, text string")
-    block = next(decontamination.seeded_blocks(bench))
+    block = decontamination.seeded_block(decontamination.benchmark_items(bench))
     for a in range(13):
         for b in range(13):
             text = ["x" if i in (a, b) else w for i, w in enumerate(item)]
@@ -375,20 +375,45 @@ def test_substitutions_are_tolerated(spark, odd):
 
 
 def test_short_items_and_repeated_seeds(spark):
-    """Items of two words and of one; equal words throughout; several blocks of the benchmark against one."""
+    """Items of two words and of one; equal words throughout; a benchmark that is joined against one that is sent to all tasks."""
     rows = [(1, "two words"), (2, "same " * 400), (3, "single"), (4, "one of six words changed here"), (5, "")]
     bench = spark.createDataFrame(rows, "item_id long, text string")
     texts = {1: "here are two words and", 2: "same " * 20_000, 3: "two other words", 4: "a single one", 5: "one of six others changed here", 6: "one of six others altered here"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     one = {(r.doc_id, r.item_id) for r in decontamination.find_contaminated(docs, bench).collect()}
     assert one == {(1, 1), (2, 2), (4, 3), (5, 4)}
-    blocks = list(decontamination.seeded_blocks(bench, 100))
-    assert len(blocks) > 2 and {(d, r[0]) for b in blocks for d, t in texts.items() for r in b.overlaps(t)} == one
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_contaminated(docs, bench, 1).collect()} == one
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs, bench, 1).collect()} == {3, 6}
     block = decontamination.Seeded([(2, "same " * 400)])
     start = time.process_time()
     assert len(list(block.overlaps("same " * 20_000))) == 1 and time.process_time() - start < 5
 
 
+def test_joined_seeds(spark, odd):
+    """Joined by seed, the whole small tables give the rows that the benchmark sent to all gives; copies, equal ids and items given twice count each."""
+    docs, bench = common.table(spark, SMALL, "documents"), common.table(spark, SMALL, "benchmark")
+    hit = {r.doc_id for r in decontamination.find_contaminated(docs, bench).collect()}
+    again = docs.where(F.col("doc_id").isin(*list(hit)[:3])).select(docs.columns)
+    many = docs.unionByName(again).unionByName(again.withColumn("doc_id", F.lit(None).cast("long"))).withColumn("key", F.lit("clash"))
+    twice = bench.unionByName(bench.where("item_id % 7 = 0"))
+    rows = lambda words: Counter(tuple(r) for r in decontamination.find_contaminated(many, twice, words).collect())
+    joined = rows(1)
+    assert joined == rows(10**6) and max(joined.values()) > 1 and None in {r[0] for r in joined}
+    kept = lambda words: Counter(tuple(r) for r in decontamination.drop_contaminated(many, twice, words).collect())
+    assert kept(1) == kept(10**6)
+    assert decontamination.find_contaminated(odd, bench, 1).count() == decontamination.find_contaminated(odd, bench).count()
+    assert decontamination.find_contaminated(docs.limit(0), bench, 1).count() == 0 and decontamination.drop_contaminated(odd, bench, 1).columns == odd.columns
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    """A third of both sides have one key: it is joined in a grid of tasks, with the same rows as by a plain join."""
+    left = spark.range(900).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), F.col("id").alias("x"))
+    right = spark.range(90).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("k"), F.col("id").alias("y"))
+    monkeypatch.setattr(decontamination, "HOT", 10)
+    got = decontamination.split_join(left, right, "k")
+    assert Counter(tuple(r) for r in got.select("k", "x", "y").collect()) == Counter(tuple(r) for r in left.join(right, "k").select("k", "x", "y").collect())
+
+
 # 3 and 8
 
 
