@@ -1,4 +1,4 @@
-"""Exact arithmetic of whole numbers."""
+"""Exact arithmetic of whole numbers, and rounding as SQL engines do it."""
 
 from __future__ import annotations
 
@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 
 def half_even(top: Column, bottom: Column) -> Column:
     """top / bottom of whole numbers to the nearest whole number, ties to even: exact, unlike rounding a double."""
-    whole, rest = F.floor(top / bottom), top % bottom
+    whole, rest = F.call_function("div", top, bottom), top % bottom
     up = (rest * 2 > bottom) | ((rest * 2 == bottom) & (whole % 2 == 1))
     return (whole + up.cast("long")).cast("long")
+
+
+def half_away(c: Column, decimals: int) -> Column:
+    """A double to so many decimals: scaled, to the nearest whole number, ties away from zero, and scaled back.
+
+    F.round works on the printed decimals instead, so both differ where the scaled value is a tie and the printed one isn't, or the reverse.
+    """
+    scale = 10.0**decimals
+    scaled = c * scale
+    near = F.rint(scaled)
+    away = F.when(F.abs(scaled - near) == 0.5, scaled + 0.5 * F.signum(scaled)).otherwise(near)
+    return F.when(F.abs(scaled) < float("inf"), away / scale).otherwise(c)
