@@ -69,7 +69,12 @@ def sens_slope(x: np.ndarray, t: np.ndarray, alpha: float = 0.05) -> tuple[float
 
 
 def _rounded(x: np.ndarray, decimals: int | None) -> np.ndarray:
-    return x if decimals is None else np.round(x, decimals)
+    """Ties go away from zero, as in SQL and in `numbers.half_away`."""
+    if decimals is None:
+        return x
+    scaled = x * 10.0**decimals
+    near = np.rint(scaled)
+    return np.where(np.abs(scaled - near) == 0.5, scaled + np.copysign(0.5, scaled), near) / 10.0**decimals
 
 
 def hamed_rao_factor(x: np.ndarray, slope: float, alpha: float = 0.05, decimals: int | None = None) -> float:
@@ -162,10 +167,10 @@ def slope_udf(alpha: float = 0.05):
 def trend_udf(alpha: float, variance: str, decimals: int | None):
     """One pass over a series: seasonal part out if asked, the test, and the slope a year.
 
-    `decimals` rounds detrended values before ranking, and, by three more, the values tested; None rounds nothing.
+    `decimals` rounds detrended values before ranking, and, by three more, values as they come and once their season is out; None rounds nothing.
     """
     check_variance(variance)
-    schema = f"{TEST}, {SLOPE}"
+    schema, fine = f"{TEST}, {SLOPE}", None if decimals is None else decimals + 3
 
     @F.pandas_udf(schema)
     def run(months: pd.Series, values: pd.Series, seasonal: pd.Series) -> pd.DataFrame:
@@ -174,8 +179,8 @@ def trend_udf(alpha: float, variance: str, decimals: int | None):
             if m is None or len(m) < 3:
                 rows.append(None)
                 continue
-            m, x = np.asarray(m, np.int64), np.asarray(v, float)
-            x = _rounded(deseasonalise(m, x) if out_season else x, None if decimals is None else decimals + 3)
+            m, x = np.asarray(m, np.int64), _rounded(np.asarray(v, float), fine)
+            x = _rounded(deseasonalise(m, x), fine) if out_season else x
             rows.append((*mann_kendall(x, alpha, variance, decimals), *sens_slope(x, elapsed_years(m), alpha)))
         return _frame(rows, schema).astype({"n": "Int32"})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import half_away
 from ..operators.sufficiency import Thresholds
 
 #: The records span under seven years, so the default limits leave none to test.
@@ -36,7 +37,7 @@ def readings(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFram
     year, month = F.year("l_shipdate"), F.month("l_shipdate")
     depth = F.col("l_extendedprice") / 1000 + 5.0 * (year - 1995) * (key % 3 - 1) + 12 * F.sin((12 * year + month) / F.lit(9.0) + key)
     return table(spark, sf_dir, "lineitem").select(
-        F.when(F.col("l_orderkey") % 11 == 0, key + UNKNOWN).otherwise(key).alias("bore_id"), F.col("l_shipdate").alias("observed_at"), F.round(depth, 4).alias("depth_to_water_m"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
+        F.when(F.col("l_orderkey") % 11 == 0, key + UNKNOWN).otherwise(key).alias("bore_id"), F.col("l_shipdate").alias("observed_at"), half_away(depth, 4).alias("depth_to_water_m"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
     )
 
 
