@@ -16,10 +16,7 @@ def half_even(top: Column, bottom: Column) -> Column:
 def half_away(c: Column, decimals: int) -> Column:
     """A double to so many decimals: scaled, to the nearest whole number, ties away from zero, and scaled back.
 
-    F.round works on the printed decimals instead, so both differ where the scaled value is a tie and the printed one isn't, or the reverse.
+    F.round to decimals works on the printed digits instead, so both differ where the scaled value is a tie and the printed one isn't, or the
+    reverse. `c` stands here once: what it is made of isn't computed again.
     """
-    scale = 10.0**decimals
-    scaled = c * scale
-    near = F.rint(scaled)
-    away = F.when(F.abs(scaled - near) == 0.5, scaled + 0.5 * F.signum(scaled)).otherwise(near)
-    return F.when(F.abs(scaled) < float("inf"), away / scale).otherwise(c)
+    return F.round(c * 10.0**decimals, 0) / F.lit(10.0**decimals)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Callable
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -132,7 +135,129 @@ def deseasonalise(months: np.ndarray, x: np.ndarray) -> np.ndarray:
 def elapsed_years(months: np.ndarray) -> np.ndarray:
     """Whole days since the first month's start, in years of 365.25 days."""
     starts = (months - 1970 * 12).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
-    return (starts - starts[0]) / 365.25
+    return (starts - starts[..., :1]) / 365.25
+
+
+#: Series of up to so many values are computed together with others of their length; pairs and places that such a block may have.
+SHORT, _PLACES = 256, 1 << 20
+
+
+@lru_cache(16)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Later less earlier values of all pairs of each row."""
+    i, j = _pairs(x.shape[1])
+    return np.take(x, j, axis=1) - np.take(x, i, axis=1)
+
+
+def _below_and_equal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value of each row, how many of the row are smaller, and how many the same."""
+    return (x[:, None, :] < x[:, :, None]).sum(2), (x[:, None, :] == x[:, :, None]).sum(2)
+
+
+def _variances(equal: np.ndarray) -> np.ndarray:
+    n = float(equal.shape[1])
+    return (n * (n - 1) * (2 * n + 5) - ((equal - 1.0) * (2 * equal + 5)).sum(1)) / 18
+
+
+def sens_slopes(x: np.ndarray, t: np.ndarray, alpha: float = 0.05) -> np.ndarray:
+    """`sens_slope` of rows of one length whose times ascend: a row (slope, lower, upper) each."""
+    slopes = np.sort(_steps(x) / _steps(t), axis=1)
+    n = slopes.shape[1]
+    c = quantile(alpha) * np.sqrt(np.maximum(_variances(_below_and_equal(x)[1]), 0.0))
+    ends = [np.clip(r, 0, n - 1).astype(np.int64) for r in (np.floor((n - c) / 2), np.ceil((n + c) / 2))]
+    middle = slopes[:, n // 2] if n % 2 else (slopes[:, n // 2 - 1] + slopes[:, n // 2]) / 2
+    return np.column_stack([middle, *(slopes[np.arange(len(x)), at] for at in ends)])
+
+
+def hamed_rao_factors(x: np.ndarray, slope: np.ndarray, alpha: float = 0.05, decimals: int | None = None) -> np.ndarray:
+    """`hamed_rao_factor` of rows of one length; a row leaves at its first lag inside the bounds."""
+    n = x.shape[1]
+    total = np.zeros(len(x))
+    if n < 4:
+        return total + 1
+    below, equal = _below_and_equal(_rounded(x - slope[:, None] * np.arange(n), decimals))
+    r = below + (equal + 1) / 2 - (n + 1) / 2
+    power, z = (r * r).sum(1), quantile(alpha)
+    left = np.flatnonzero(power)
+    for lag in range(1, n - 2):
+        m = n - lag
+        rho, width = (r[left, :m] * r[left, lag:]).sum(1) / power[left], z * math.sqrt(m - 1)
+        out = ~((-1 - width < rho * m) & (rho * m < -1 + width))
+        left, rho = left[out], rho[out]
+        if not len(left):
+            break
+        total[left] += m * (m - 1.0) * (m - 2.0) * rho
+    return np.maximum(1 + 2 / (n * (n - 1.0) * (n - 2.0)) * total, 1e-6)
+
+
+def mann_kendalls(x: np.ndarray, alpha: float = 0.05, variance: str = "hamed_rao", decimals: int | None = None) -> np.ndarray:
+    """`mann_kendall` of rows of one length, three at least."""
+    n = x.shape[1]
+    s, equal = np.sign(_steps(x)).sum(1), _below_and_equal(x)[1]
+    var, factor = _variances(equal), np.ones(len(x))
+    if variance == "hamed_rao":
+        factor = hamed_rao_factors(x, sens_slopes(x, np.tile(np.arange(n, dtype=float), (len(x), 1)), alpha)[:, 0], alpha, decimals)
+        var = var * factor
+    z = np.divide(s - np.sign(s), np.sqrt(np.maximum(var, 0.0)), out=np.zeros(len(x)), where=var > 0)
+    p = [2 * (1 - 0.5 * (1 + math.erf(abs(v) / math.sqrt(2)))) for v in z.tolist()]
+    pairs = n * (n - 1) / 2
+    bottom = np.sqrt((pairs - (equal - 1.0).sum(1) / 2) * pairs)
+    tau = np.divide(s, bottom, out=np.zeros(len(x)), where=bottom > 0)
+    return np.column_stack([np.full(len(x), float(n)), s, var, z, p, tau, factor, n / factor])
+
+
+def deseasonalised(months: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """`deseasonalise` of rows of one length, three at least, whose months ascend."""
+    since = (months - months[:, :1]).astype(float)
+    flat, moy, out = x - sens_slopes(x, since)[:, :1] * since, months % 12, x.copy()
+    for m in range(12):
+        own = moy == m
+        n = own.sum(1)
+        ordered = np.sort(np.where(own, flat, np.inf), axis=1)
+        row = np.arange(len(x))
+        offset = np.where(n > 0, (ordered[row, np.maximum(n - 1, 0) // 2] + ordered[row, np.minimum(n // 2, x.shape[1] - 1)]) / 2, 0.0)
+        out = np.where(own, x - offset[:, None], out)
+    return out
+
+
+def _trend(months: np.ndarray, x: np.ndarray, out_season: bool, alpha: float, variance: str, decimals: int | None, fine: int | None) -> tuple:
+    x = _rounded(x, fine)
+    x = _rounded(deseasonalise(months, x), fine) if out_season else x
+    return *mann_kendall(x, alpha, variance, decimals), *sens_slope(x, elapsed_years(months), alpha)
+
+
+def _trends(months: np.ndarray, x: np.ndarray, out_season: np.ndarray, alpha: float, variance: str, decimals: int | None, fine: int | None) -> np.ndarray:
+    """`_trend` of rows of one length."""
+    x = _rounded(x, fine)
+    if out_season.any():
+        x[out_season] = _rounded(deseasonalised(months[out_season], x[out_season]), fine)
+    return np.hstack([mann_kendalls(x, alpha, variance, decimals), sens_slopes(x, elapsed_years(months), alpha)])
+
+
+def _by_length(columns: int, series: list[tuple], together: Callable, alone: Callable, least: int) -> np.ndarray:
+    """A row of figures for each of `series` (values, times or None, more): those of one length at once, long ones and such as aren't finite or in order alone.
+
+    Rows of series under `least` values are nan.
+    """
+    out, same = np.full((len(series), columns), math.nan), defaultdict(list)
+    for at, (x, t, *more) in enumerate(series):
+        if x is None or len(x) < least:
+            continue
+        if len(x) <= SHORT and np.isfinite(x).all() and (t is None or (np.diff(t) > 0).all()):
+            same[len(x)].append(at)
+        else:
+            out[at] = alone(x, t, *more)
+    for n, places in same.items():
+        step = max(_PLACES // n**2, 1)
+        for first in range(0, len(places), step):
+            part = places[first : first + step]
+            x, t, *more = zip(*(series[at] for at in part), strict=True)
+            out[part] = together(np.array(x), None if t[0] is None else np.array(t), *map(np.array, more))
+    return out
 
 
 def check_variance(variance: str) -> None:
@@ -140,9 +265,12 @@ def check_variance(variance: str) -> None:
         raise ValueError(f"unknown variance method {variance!r}")
 
 
-def _frame(rows: list, schema: str) -> pd.DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
-    return pd.DataFrame([row if row is not None else (None,) * len(names) for row in rows], columns=names)
+def _frame(rows: np.ndarray, schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+
+def _array(v: object, kind: type) -> np.ndarray | None:
+    return None if v is None else np.asarray(v, kind)
 
 
 def test_udf(alpha: float = 0.05, variance: str = "hamed_rao", decimals: int | None = None):
@@ -150,8 +278,9 @@ def test_udf(alpha: float = 0.05, variance: str = "hamed_rao", decimals: int | N
 
     @F.pandas_udf(TEST)
     def run(values: pd.Series) -> pd.DataFrame:
-        out = _frame([mann_kendall(np.asarray(v, float), alpha, variance, decimals) for v in values], TEST)
-        return out.astype({"n": "Int32"})
+        how = (alpha, variance, decimals)
+        rows = _by_length(8, [(_array(v, float), None) for v in values], lambda x, _: mann_kendalls(x, *how), lambda x, _: mann_kendall(x, *how), 3)
+        return _frame(rows, TEST).astype({"n": "Int32"})
 
     return run
 
@@ -159,7 +288,8 @@ def test_udf(alpha: float = 0.05, variance: str = "hamed_rao", decimals: int | N
 def slope_udf(alpha: float = 0.05):
     @F.pandas_udf(SLOPE)
     def run(values: pd.Series, times: pd.Series) -> pd.DataFrame:
-        return _frame([sens_slope(np.asarray(v, float), np.asarray(t, float), alpha) for v, t in zip(values, times, strict=True)], SLOPE)
+        series = [(_array(v, float), _array(t, float)) for v, t in zip(values, times, strict=True)]
+        return _frame(_by_length(3, series, lambda x, t: sens_slopes(x, t, alpha), lambda x, t: sens_slope(x, t, alpha), 2), SLOPE)
 
     return run
 
@@ -174,14 +304,9 @@ def trend_udf(alpha: float, variance: str, decimals: int | None):
 
     @F.pandas_udf(schema)
     def run(months: pd.Series, values: pd.Series, seasonal: pd.Series) -> pd.DataFrame:
-        rows = []
-        for m, v, out_season in zip(months, values, seasonal, strict=True):
-            if m is None or len(m) < 3:
-                rows.append(None)
-                continue
-            m, x = np.asarray(m, np.int64), _rounded(np.asarray(v, float), fine)
-            x = _rounded(deseasonalise(m, x), fine) if out_season else x
-            rows.append((*mann_kendall(x, alpha, variance, decimals), *sens_slope(x, elapsed_years(m), alpha)))
+        how = (alpha, variance, decimals, fine)
+        series = [(_array(v, float) if m is not None else None, _array(m, np.int64), bool(out_season)) for m, v, out_season in zip(months, values, seasonal, strict=True)]
+        rows = _by_length(11, series, lambda x, m, o: _trends(m, x, o, *how), lambda x, m, o: _trend(m, x, o, *how), 3)
         return _frame(rows, schema).astype({"n": "Int32"})
 
     return run

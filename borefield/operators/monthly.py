@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .levels import nan_to_null
 from .scan import null_safe, running_sum
-from .selection import exact_medians
+from .selection import exact_medians, sorted_medians
 
 
 def month_index(at: Column) -> Column:
@@ -22,13 +21,12 @@ def monthly_median(readings: DataFrame, key: str = "bore_id", value: str = "valu
     """(key, month_idx, value, n): the exact median of each month that has values, and how many.
 
     Null and nan values are left out; a value without a time makes a row of null month_idx, which still counts as
-    an observation but stands in no month. Keyed by series and month, so one long series is spread over its months. A task holds
-    a month's distinct values unless `bounded`, which narrows all months' middles down over stable `readings`, in more passes.
+    an observation but stands in no month. Keyed by series and month, so one long series is spread over its months. A task sorts
+    a month's values unless `bounded`, which narrows the middles of crowded months down over stable `readings`, in more passes.
     """
-    clean = readings.select(key, month_index(F.col(at)).alias("month_idx"), nan_to_null(F.col(value)).alias("value")).where("value IS NOT NULL")
-    if bounded:
-        return exact_medians(clean, [key, "month_idx"]).select(key, "month_idx", F.col("median").alias("value"), "n")
-    return clean.groupBy(key, "month_idx").agg(F.median("value").alias("value"), F.count("*").alias("n"))
+    clean = readings.select(key, month_index(F.col(at)).alias("month_idx"), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("value")).where("value IS NOT NULL")
+    found = (exact_medians if bounded else sorted_medians)(clean, [key, "month_idx"])
+    return found.select(key, "month_idx", F.col("median").alias("value"), "n")
 
 
 def series_coverage(monthly: DataFrame, key: str = "bore_id") -> DataFrame:

@@ -19,6 +19,16 @@ from .scan import null_safe
 FEW, CUTS = 1 << 14, 64
 
 
+def sorted_medians(rows: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """(keys, n, median) by one sort of `rows` by group and value: no group's values are held in memory, but a group is one task's."""
+    order = Window.partitionBy(*keys).orderBy(value)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    places = {"_at": F.row_number().over(order), "_next": F.lead(value).over(order), "n": F.count("*").over(whole)}
+    placed = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value)).withColumns(places)
+    upper = F.when(F.col("n") % 2 == 1, F.col(value)).otherwise(F.col("_next"))
+    return placed.where(F.col("_at") == F.floor((F.col("n") + 1) / 2)).select(*keys, "n", ((F.col(value) + upper) / 2).alias("median"))
+
+
 def exact_medians(rows: DataFrame, keys: Sequence[str], value: str = "value", weight: Column | None = None, few: int = FEW) -> DataFrame:
     """(keys, n, lower, upper, median): of each group's values that aren't null, their number and the middle two; the median is their mean.
 

@@ -78,3 +78,16 @@ def test_average_rank_of_ties_and_nulls(spark):
     got = monthly.average_rank(spark.createDataFrame(rows, "k int, v double"), "k", "v").collect()
     assert len(got) == len(rows)
     assert {(r.k, r.v): r["rank"] for r in got} == {(1, 5.0): 3.5, (1, 2.0): 2.0, (1, None): 1.0, (2, None): 1.5, (None, 1.0): 1.0}
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 26, 84])
+@pytest.mark.parametrize("ties", [False, True])
+def test_series_of_one_length_at_once(n, ties):
+    """Bit by bit what each series gives alone."""
+    rng = np.random.default_rng(n)
+    months = np.array([np.sort(rng.choice(n + 40, n, replace=False)) + 23_000 for _ in range(30)])
+    x = rng.integers(0, 3, (30, n)).astype(float) if ties else np.round(rng.normal(size=(30, n)).cumsum(1), 5)
+    season = rng.random(30) < 0.6
+    how = (0.05, "hamed_rao", 6, 9)
+    alone = [stats._trend(m, v, o, *how) for m, v, o in zip(months, x, season, strict=True)]
+    assert np.array_equal(stats._trends(months, x, season, *how), np.array(alone, float))
