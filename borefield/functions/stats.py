@@ -224,6 +224,11 @@ def deseasonalised(months: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def kendall_sums(series: list[np.ndarray]) -> np.ndarray:
+    """`kendall_s` of each."""
+    return _by_length(1, [(x, None) for x in series], lambda x, _: np.sign(_steps(x)).sum(1)[:, None], lambda x, _: kendall_s(x), 0)[:, 0]
+
+
 def _trend(months: np.ndarray, x: np.ndarray, out_season: bool, alpha: float, variance: str, decimals: int | None, fine: int | None) -> tuple:
     x = _rounded(x, fine)
     x = _rounded(deseasonalise(months, x), fine) if out_season else x

@@ -7,14 +7,17 @@ different values is counted at one bit. Ones that stand before are summed inside
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import kendall_sums
 from ..staging import stage
 from .scan import null_safe, positions
 
-#: Readings of a block of time: what one task sums in order.
-BLOCK = 1 << 16
+#: Readings of a block of time: what one task sums in order; readings of a series up to which it is one array.
+BLOCK, SHORT = 1 << 16, 1 << 10
 _WIDE = "decimal(38,0)"
 
 
@@ -26,11 +29,34 @@ def ranked(values: DataFrame, key: str, order: list[str], value: str) -> DataFra
     return null_safe(null_safe(placed, different, [key, "_value"]), counted, [key]).select(key, "position", "rank", "distinct")
 
 
-def kendall_s(values: DataFrame, key: str, order: list[str], value: str = "value", block: int = BLOCK) -> DataFrame:
+def kendall_s(values: DataFrame, key: str, order: list[str], value: str = "value", block: int = BLOCK, short: int = SHORT) -> DataFrame:
     """(key, n, s): the number of pairs that rise in time less those that fall; equal values are neither.
 
-    `order` is total inside a key. Null values take no part; a key of one value or of equal values has s = 0.
+    `order` is total inside a key. Null values take no part; a key of one value or of equal values has s = 0. Series of up to `short`
+    values are gathered and compared in Arrow batches, longer ones, which are few, are counted by inversions.
     """
+    known = values.where(F.col(value).isNotNull()).select(key, *order, F.col(value).alias("_value"))
+    long = stage(known.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > short).select(key))
+    if not long.head(1):
+        return _gathered(known, key, order)
+    rest = _gathered(null_safe(known, long, [key], "left_anti"), key, order)
+    return rest.unionByName(_by_inversions(null_safe(values, long, [key], "left_semi"), key, order, value, block))
+
+
+def _gathered(known: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """S of series that fit an array each."""
+
+    @F.pandas_udf("double")
+    def sums(series: pd.Series) -> pd.Series:
+        return pd.Series(kendall_sums([np.asarray(v, float) for v in series]))
+
+    pairs = F.array_sort(F.collect_list(F.struct(*order, F.col("_value").cast("double").alias("_value"))))
+    arrays = known.groupBy(key).agg(F.count("*").alias("n"), pairs.alias("_s")).select(key, "n", F.col("_s._value").alias("_s"))
+    return arrays.select(key, "n", sums("_s").alias("s"))
+
+
+def _by_inversions(values: DataFrame, key: str, order: list[str], value: str, block: int) -> DataFrame:
+    """S of series of any length."""
     ranks = stage(ranked(values, key, order, value))
     levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("distinct"))).cast("int") - 1, F.lit(0)))
     bits = ranks.where("distinct > 1").select(key, "position", "rank", F.explode(levels).alias("level"))

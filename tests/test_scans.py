@@ -95,6 +95,19 @@ def test_one_long_series(spark, many_parts):
     assert concordance.kendall_s(df, "k", ["t"], block=1 << 12).first().s == float(s)
 
 
+@pytest.mark.parametrize("short", [0, 100, 1000])
+def test_short_and_long_series_together(spark, monkeypatch, short):
+    """Series of up to so many values are gathered, the rest is counted by inversions; all give the same."""
+    rng = np.random.default_rng(9)
+    series = {1: rng.normal(size=300), 2: rng.integers(0, 4, 90).astype(float), 3: np.ones(9), 4: np.array([2.0]), None: rng.integers(0, 9, 150).astype(float)}
+    df = spark.createDataFrame([(k, t, float(v)) for k, x in series.items() for t, v in enumerate(x)] + [(2, 99, None)], "k int, t int, value double").orderBy(F.rand(3))
+    counted, real = [], concordance._by_inversions
+    monkeypatch.setattr(concordance, "_by_inversions", lambda values, *a: counted.append({r.k for r in values.select("k").collect()}) or real(values, *a))
+    got = {r.k: (r.n, r.s) for r in concordance.kendall_s(df, "k", ["t"], short=short).collect()}
+    assert got == {k: (len(x), slow_s(x)) for k, x in series.items()}
+    assert counted == ([{k for k, x in series.items() if len(x) > short}] if short < 300 else [])
+
+
 FILES = {
     "a/wells.csv": (",", ["id", "name", "depth"], [[i, f"W, {i % 3}", i * 1.5] for i in range(40)]),
     "a/b/more.csv": (",", ["id", "flag"], [[i, i % 2 == 0] for i in range(5)]),
