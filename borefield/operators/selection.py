@@ -3,6 +3,7 @@
 Every group has its own bracket of values that holds its middle, and all brackets are narrowed together: a round sketches
 each group's values inside its bracket, cuts them there, and counts between the cuts. A group is done once few rows or one value
 are left, and only those are gathered. Rows themselves aren't shuffled until then; rounds grow with the logarithm of the largest group.
+Groups of few rows, mostly all, are sorted at once and meet no brackets.
 """
 
 from __future__ import annotations
@@ -38,15 +39,31 @@ def exact_medians(rows: DataFrame, keys: Sequence[str], value: str = "value", we
     once = F.lit(1).cast("long") if weight is None else weight.cast("long")
     values = rows.select(*keys, F.col(value).cast("double").alias("x"), once.alias("w")).where("x IS NOT NULL")
     start = values.groupBy(*keys).agg(F.sum("w").alias("n"), F.count("*").alias("size"), F.min("x").alias("low"), F.max("x").alias("high"))
-    brackets = stage(start.select(*keys, "n", "low", "high", F.lit(0).cast("long").alias("below"), _is_open(F.col("size"), few).alias("open")))
-    done = brackets.where("NOT open")
+    crowded = start.where(F.col("size") > few)  # few groups: no more than rows / few
+    brackets = stage(crowded.select(*keys, "n", "low", "high", F.lit(0).cast("long").alias("below"), _is_open(F.col("size"), few).alias("open")))
+    if not brackets.head(1):
+        return _middles(values.select(*keys, "x", "w", F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("below")), keys)
+    groups, done = brackets.select(*keys), brackets.where("NOT open")
+    small = null_safe(values, F.broadcast(groups), keys, "left_anti")
+    large = null_safe(values, F.broadcast(groups), keys, "left_semi")
     while (open_ := brackets.where("open")).head(1):
-        brackets = stage(_narrowed(null_safe(values, open_.drop("open"), keys).where("x BETWEEN low AND high"), keys, few))
+        brackets = stage(_narrowed(null_safe(large, open_.drop("open"), keys).where("x BETWEEN low AND high"), keys, few))
         done = done.unionByName(brackets.where("NOT open"))
-    near = null_safe(values, done.drop("open"), keys).where("x BETWEEN low AND high").groupBy(*keys, "n", "below", "x").agg(F.sum("w").alias("w"))
-    upto = F.col("below") + F.sum("w").over(Window.partitionBy(*keys).orderBy("x"))
-    found = near.withColumn("upto", upto).groupBy(*keys, "n").agg(*(F.min(F.when(F.col("upto") > rank, F.col("x"))).alias(name) for name, rank in (("lower", _first()), ("upper", _last()))))
-    return found.withColumn("median", (F.col("lower") + F.col("upper")) / 2)
+    near = null_safe(large, done.drop("open"), keys).where("x BETWEEN low AND high").groupBy(*keys, "n", "below", "x").agg(F.sum("w").alias("w"))
+    whole = small.select(*keys, "x", "w", F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("below"))
+    return _middles(whole.unionByName(near.select(*whole.columns)), keys)
+
+
+def _middles(near: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, lower, upper, median) of `near` (keys, x, w, n, below): a group's values round its middle, or all of them where n is null."""
+    order = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.coalesce("n", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    summed = near.withColumns({"_total": total, "_upto": F.col("below") + F.sum("w").over(order)}).drop("n").withColumnRenamed("_total", "n")
+    following = F.lead("x").over(Window.partitionBy(*keys).orderBy("x"))
+    # The row at which the sum passes the lower middle; the upper one is its own value or the next.
+    placed = summed.withColumn("_next", following).where((F.col("_upto") > _first()) & (F.col("_upto") - F.col("w") <= _first()))
+    upper = F.when(F.col("_upto") > _last(), F.col("x")).otherwise(F.col("_next"))
+    return placed.select(*keys, "n", F.col("x").alias("lower"), upper.alias("upper")).withColumn("median", (F.col("lower") + F.col("upper")) / 2)
 
 
 def _first() -> Column:
