@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..staging import stage
 from .scan import null_safe
 
-#: Rows that are gathered for a group; cuts of a round.
-FEW, CUTS = 1 << 14, 64
+#: Rows that are gathered for a group; cuts of a round, closest round the middle, and how fine its sketch is.
+FEW, CUTS, FINE = 1 << 14, (0.0, 0.1, 0.25, 0.4, 0.49, 0.4985, 0.5015, 0.51, 0.6, 0.75, 0.9, 1.0), 2000
 
 
 def sorted_medians(rows: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -45,11 +45,10 @@ def exact_medians(rows: DataFrame, keys: Sequence[str], value: str = "value", we
         return _middles(values.select(*keys, "x", "w", F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("below")), keys)
     groups, done = brackets.select(*keys), brackets.where("NOT open")
     small = null_safe(values, F.broadcast(groups), keys, "left_anti")
-    large = null_safe(values, F.broadcast(groups), keys, "left_semi")
     while (open_ := brackets.where("open")).head(1):
-        brackets = stage(_narrowed(null_safe(large, open_.drop("open"), keys).where("x BETWEEN low AND high"), keys, few))
+        brackets = stage(_narrowed(null_safe(values, open_.drop("open"), keys).where("x BETWEEN low AND high"), keys, few))
         done = done.unionByName(brackets.where("NOT open"))
-    near = null_safe(large, done.drop("open"), keys).where("x BETWEEN low AND high").groupBy(*keys, "n", "below", "x").agg(F.sum("w").alias("w"))
+    near = null_safe(values, done.drop("open"), keys).where("x BETWEEN low AND high").groupBy(*keys, "n", "below", "x").agg(F.sum("w").alias("w"))
     whole = small.select(*keys, "x", "w", F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("below"))
     return _middles(whole.unionByName(near.select(*whole.columns)), keys)
 
@@ -80,9 +79,10 @@ def _is_open(size: Column, few: int) -> Column:
 
 def _narrowed(known: DataFrame, keys: Sequence[str], few: int) -> DataFrame:
     """Of `known` (keys, n, low, high, below, x, w) the brackets between cuts that hold the middle. Cuts only decide how fast it goes."""
-    cuts = stage(known.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("x", [i / CUTS for i in range(CUTS + 1)], 10 * CUTS)).alias("cuts")))
+    cuts = stage(known.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("x", list(CUTS), FINE)).alias("cuts")))
     # Odd buckets hold one value, a cut; even ones what lies between two cuts.
-    bucket = F.size(F.filter("cuts", lambda c: c < F.col("x"))) + F.size(F.filter("cuts", lambda c: c <= F.col("x")))
+    each = [F.get("cuts", F.lit(i)) for i in range(len(CUTS))]
+    bucket = sum((F.coalesce(passed.cast("int"), F.lit(0)) for c in each for passed in (c < F.col("x"), c <= F.col("x"))), F.lit(0))
     parts = null_safe(known, cuts, keys).groupBy(*keys, "n", "below", bucket.alias("bucket")).agg(
         F.sum("w").alias("w"), F.count("*").alias("size"), F.min("x").alias("low"), F.max("x").alias("high")
     )

@@ -171,6 +171,22 @@ def test_ragged_lines_and_crlf(spark, tmp_path):
     assert (found[2].column, found[2].n_rows, found[2].codes) == (None, 1, "extra")
 
 
+def test_only_texts_are_counted_by_value(spark, tmp_path, monkeypatch):
+    """Numbers are written once and meet only the medians' rounds; columns of one place and name in several files of a folder are one."""
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.csv").write_text("n,w\n" + "".join(f"{i},w{i % 5}\n" for i in range(700)) + "7,w1,more\n")
+    (tmp_path / "t/b.csv").write_text("n,x\n" + "".join(f"{i}.5,{i}\n" for i in range(300)) + '1,2,"a,b",8\n')
+    staged, real = [], folder.stage
+    monkeypatch.setattr(folder, "stage", lambda df: staged.append(real(df)) or staged[-1])
+    found = {(r.position, r.column): r for r in folder.inspect_files(spark, [str(tmp_path / "t")], by_folder=True).collect()}
+    numbers = [i for i in range(700)] + [7] + [i + 0.5 for i in range(300)] + [1]
+    assert (found[0, "n"].n_rows, found[0, "n"].median, found[0, "n"].greatest) == (1002, np.median(numbers), 699.0)
+    assert (found[1, "w"].codes, found[1, "w"].n_rows, found[1, "x"].median, found[1, "x"].n_rows) == ("w0|w1|w2|w3|w4", 701, np.median([*range(300), 2]), 301)
+    assert (found[2, None].codes, found[2, None].n_rows, found[3, None].least) == ("a,b|more", 2, 8.0) and len(found) == 5
+    counted = [r for df in staged if "k" in df.columns for r in df.collect()]
+    assert {r.v for r in counted} == {"w0", "w1", "w2", "w3", "w4", "a,b", "more"}
+
+
 def test_a_profile_of_the_first_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(i, float(i), "t") for i in range(50)], "a int, b double, c string")
     assert {r.n_rows for r in profile.profile_columns(df, rows=7).collect()} == {7}
