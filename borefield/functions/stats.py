@@ -299,6 +299,18 @@ def slope_udf(alpha: float = 0.05):
     return run
 
 
+def factor_udf(alpha: float = 0.05):
+    """The variance factor of detrended values in order of time."""
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        series = [(np.asarray(v, float), None) for v in values]
+        flat = lambda x: np.zeros(len(x))
+        return pd.Series(_by_length(1, series, lambda x, _: hamed_rao_factors(x, flat(x), alpha)[:, None], lambda x, _: hamed_rao_factor(x, 0.0, alpha), 0)[:, 0])
+
+    return run
+
+
 def trend_udf(alpha: float, variance: str, decimals: int | None):
     """One pass over a series: seasonal part out if asked, the test, and the slope a year.
 

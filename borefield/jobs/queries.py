@@ -361,11 +361,11 @@ def mann_kendall(spark, d):
 
 @query("hamed_rao_factor", _with(DENSE, _X, *_ROBUST) + "SELECT bore_id, round(factor, 6) AS factor, round(effective_n, 6) AS effective_n FROM x_m")
 def hamed_rao_factor(spark, d):
-    """Detrended by the slope a position; ranks and lags on Spark."""
+    """Detrended by the slope a position; short series by the kernel, ranks and lags of long ones on Spark."""
     series = _series(spark, d).withColumn("t", F.transform("values", lambda _, i: i.cast("double")))
     sloped = trends.sens_slope(series, "t").select("bore_id", "slope", F.posexplode("values").alias("position", "value"))
     flat = sloped.select("bore_id", "position", half_away(F.col("value") - F.coalesce("slope", F.lit(0.0)) * F.col("position"), 6).alias("value"))
-    return _rounded(autocorrelation.variance_factor(flat, "bore_id"), "factor", "effective_n").select("bore_id", "factor", "effective_n")
+    return _rounded(autocorrelation.variance_factor(flat, "bore_id", short=autocorrelation.SHORT), "factor", "effective_n").select("bore_id", "factor", "effective_n")
 
 
 # Deseasonalising and the flagship

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantile
+from ..functions.stats import factor_udf, quantile
 from ..staging import stage
 from .monthly import average_rank
 from .scan import null_safe
 
-#: Lags of the first round.
-LAGS = 4
+#: Lags of the first round; values of a series up to which it is one array.
+LAGS, SHORT = 4, 1 << 10
 
 
 def _inside(rho: Column, m: Column, z: float) -> Column:
@@ -24,13 +24,31 @@ def _inside(rho: Column, m: Column, z: float) -> Column:
     return (rho * m > -1 - width) & (rho * m < -1 + width)
 
 
-def variance_factor(values: DataFrame, key: str, position: str = "position", value: str = "value", alpha: float = 0.05, lags: int = LAGS) -> DataFrame:
+def variance_factor(values: DataFrame, key: str, position: str = "position", value: str = "value", alpha: float = 0.05, lags: int = LAGS, short: int = 0) -> DataFrame:
     """(key, n, factor, effective_n) of detrended series: n / n* from the autocorrelation of their ranks, up to the first insignificant lag.
 
     `position` counts from 0 inside a key. Series under four values or of equal ranks have the factor 1. Correlations are sums of
-    quarters and so exact in any order.
+    quarters and so exact in any order. Series of up to `short` values are gathered and taken in Arrow batches; only longer ones meet lag by lag.
     """
     known = values.where(F.col(value).isNotNull()).select(key, F.col(position).alias("i"), F.col(value).alias("v"))
+    if not short:
+        return _by_lags(known, key, alpha, lags)
+    known = stage(known)
+    long = stage(known.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > short).select(key))
+    if not long.head(1):
+        return _gathered(known, key, alpha)
+    return _gathered(null_safe(known, long, [key], "left_anti"), key, alpha).unionByName(_by_lags(null_safe(known, long, [key], "left_semi"), key, alpha, lags))
+
+
+def _gathered(known: DataFrame, key: str, alpha: float) -> DataFrame:
+    """The factors of series that fit an array each."""
+    ordered = F.array_sort(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v"))))
+    arrays = known.groupBy(key).agg(F.count("*").alias("n"), ordered.alias("s")).select(key, "n", F.col("s.v").alias("v"))
+    return arrays.select(key, "n", factor_udf(alpha)("v").alias("factor")).withColumn("effective_n", F.col("n") / F.col("factor"))
+
+
+def _by_lags(known: DataFrame, key: str, alpha: float, lags: int) -> DataFrame:
+    """The factors of series of any length (key, i, v)."""
     ranked = stage(average_rank(known, key, "v").select(key, "i", F.col("rank").alias("r")))
     sizes = ranked.groupBy(key).agg(F.count("*").alias("n"))
     centred = stage(null_safe(ranked, sizes, [key]).select(key, "i", "n", (F.col("r") - (F.col("n") + 1) / F.lit(2.0)).alias("c")))

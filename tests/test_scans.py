@@ -224,3 +224,20 @@ def test_lags_up_to_the_first_insignificant_one(spark, monkeypatch):
         assert got[k].factor == pytest.approx(stats.hamed_rao_factor(x, 0.0), rel=1e-12), k
         assert got[k].effective_n == pytest.approx(len(x) / got[k].factor)
     assert 3 not in advanced[0] and 4 not in advanced[0] and len(advanced[-1]) < len(advanced[0])
+
+
+@pytest.mark.parametrize("short", [100, 1000])
+def test_short_series_are_gathered(spark, monkeypatch, short):
+    """Series of up to so many values don't meet lag by lag; all have the kernel's factor."""
+    from borefield.functions import stats
+    from borefield.operators import autocorrelation
+
+    rng = np.random.default_rng(8)
+    series = {1: np.cumsum(rng.normal(size=300)).round(2), 2: rng.normal(size=90).round(1), 3: np.ones(30), 4: np.array([1.0, 2, 3]), 5: np.array([2.0]), None: np.cumsum(rng.normal(size=60)).round(1)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "k int, position int, value double").orderBy(F.rand(3))
+    by_lags, real = [], autocorrelation._by_lags
+    monkeypatch.setattr(autocorrelation, "_by_lags", lambda known, *a: by_lags.append({r.k for r in known.select("k").collect()}) or real(known, *a))
+    got = {r.k: r for r in autocorrelation.variance_factor(df, "k", short=short).collect()}
+    assert {k: r.n for k, r in got.items()} == {k: len(x) for k, x in series.items()}
+    assert all(got[k].factor == pytest.approx(stats.hamed_rao_factor(x, 0.0), rel=1e-12) for k, x in series.items())
+    assert by_lags == ([{1}] if short < 300 else [])
