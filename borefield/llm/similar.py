@@ -14,6 +14,7 @@ so a fingerprint is the signs of the transform of the shingles' signed counts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .words import by_text, hashed_words, shingles
 
 SIMILARITY, SHINGLE, FINGERPRINT_SHINGLE = 0.8, 5, 3
 BITS, TABLES, WIDTH, COMPARED = 4096, 120, 24, 512
+#: Bits of the map of a shingle set that bounds what two sets share.
+MARKS = 512
 #: Differing bits of COMPARED up to which a pair may be similar: four deviations above the mean at SIMILARITY.
 _P = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 MAY_DIFFER = math.floor(COMPARED * _P + 4 * math.sqrt(COMPARED * _P * (1 - _P)))
@@ -91,12 +94,25 @@ def _grams(batches):
     hold("similar")
     for batch in batches:
         for part in by_bytes(batch, limit=TEXT_BYTES):
-            found = [shingles(h, SHINGLE).view(np.int64) for h in by_text(*hashed_words(part.column("text")))]
-            yield pa.record_batch([part.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "grams"])
+            found = [shingles(h, SHINGLE) for h in by_text(*hashed_words(part.column("text")))]
+            grams, marks = (pa.array([x.view(np.int64) for x in of], pa.list_(pa.int64())) for of in (found, [marked(x) for x in found]))
+            yield pa.record_batch([part.column("node"), grams, marks], ["node", "grams", "marks"])
+
+
+def marked(grams: np.ndarray) -> np.ndarray:
+    """A set of hashes as a map of MARKS bits, one for each value of their lowest bits that is there."""
+    bits = np.zeros(MARKS, bool)
+    bits[(grams & np.uint64(MARKS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def _total(x: str, y: str, bits: int, join: Callable[[Column, Column], Column]) -> Column:
+    """The set bits of two maps, joined long by long."""
+    return sum((F.bit_count(join(F.get(x, F.lit(i)), F.get(y, F.lit(i)))) for i in range(1, bits // 64)), F.bit_count(join(F.get(x, F.lit(0)), F.get(y, F.lit(0)))))
 
 
 def _differing(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+    return _total(x, y, COMPARED, lambda a, b: a.bitwiseXOR(b))
 
 
 def _sides(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
@@ -110,28 +126,34 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(_sides(pairs, nodes, "bits").where(_differing("x", "y") <= MAY_DIFFER).select("a", "b"))
 
 
-def _grams_of(some: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, grams): the shingle sets of some nodes."""
+def _grams_of(some: DataFrame, nodes: DataFrame, docs: DataFrame, *also: str) -> DataFrame:
+    """(node, grams): the shingle sets of some nodes, and their maps (marks) if asked for."""
     wanted = some.join(nodes.select("node", F.col("first_id").alias("doc_id")), "node")
     texts = small_join(docs, materialize(wanted), "doc_id").dropDuplicates(["node"])
-    return materialize(texts.select("node", "text").mapInArrow(_grams, "node long, grams array<long>"))
+    return materialize(texts.select("node", "text").mapInArrow(_grams, "node long, grams array<long>, marks array<long>").select("node", "grams", *also))
 
 
 def _bounds(open_: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, own, held) of nodes at crowded anchors: how many shingles they have, and how many of them another such node has, too.
+    """(node, own, held, marks) of nodes at crowded anchors: how many shingles they have, how many of them another such node has, too, and their map.
 
     A shingle that no other of them has is in no intersection, which bounds the similarity of a pair by two numbers of each side.
     """
-    grams = _grams_of(open_.where(F.col("size") > CROWD).select("node").distinct(), nodes, docs)
+    grams = _grams_of(open_.where(F.col("size") > CROWD).select("node").distinct(), nodes, docs, "marks")
     single = grams.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.first("node").alias("node")).where("n = 1")
     alone = single.groupBy("node").agg(F.count("*").alias("alone"))
-    sized = grams.select("node", F.size("grams").alias("own")).join(alone, "node", "left")
-    return materialize(sized.select("node", "own", (F.col("own") - F.coalesce("alone", F.lit(0))).alias("held")))
+    sized = grams.select("node", "marks", F.size("grams").alias("own")).join(alone, "node", "left")
+    return materialize(sized.select("node", "own", (F.col("own") - F.coalesce("alone", F.lit(0))).alias("held"), "marks"))
+
 
+def _may_be(a: tuple[str, str, str], b: tuple[str, str, str], tenths: int = round(10 * SIMILARITY)) -> Column:
+    """False where the bounds (own, held, marks) of two nodes rule the similarity out; true where one has none.
 
-def _may_be(own_a: str, held_a: str, own_b: str, held_b: str, tenths: int = round(10 * SIMILARITY)) -> Column:
-    """False where the bounds of two nodes rule the similarity out; true where one has none."""
-    return F.coalesce((10 + tenths) * F.least(held_a, held_b) >= tenths * (F.col(own_a) + F.col(own_b)), F.lit(True))
+    A bit that only one map has stands for at least one shingle that the other set lacks.
+    """
+    (own_a, held_a, x), (own_b, held_b, y) = a, b
+    lacks = [F.col(own) - _total(p, q, MARKS, lambda u, v: u.bitwiseAND(F.bitwise_not(v))) for own, p, q in ((own_a, x, y), (own_b, y, x))]
+    enough = tenths * (F.col(own_a) + F.col(own_b))
+    return F.coalesce(((10 + tenths) * F.least(held_a, held_b) >= enough) & ((10 + tenths) * F.least(*lacks) >= enough), F.lit(True))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tenths: int = round(10 * SIMILARITY)) -> DataFrame:
@@ -149,7 +171,7 @@ def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _bounded(open_: DataFrame, bounds: DataFrame, tenths: int = round(10 * SIMILARITY)) -> DataFrame:
-    """`open_` with own and held. A node that can be similar to no other of the crowds leaves crowded anchors, where all are of the crowds, and no others."""
+    """`open_` with own, held and marks. A node that can be similar to no other of the crowds leaves crowded anchors, where all are of the crowds, and no others."""
     may = F.coalesce(10 * F.col("held") >= tenths * F.col("own"), F.lit(True))
     return materialize(open_.join(bounds, "node", "left").where((F.col("size") <= CROWD) | may))
 
@@ -160,9 +182,9 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def _led(open_: DataFrame) -> DataFrame:
     """(a, b): at each anchor one node, chosen by a hash, with those of other components that its bounds allow."""
-    first = F.min(F.struct(F.xxhash64("key", "node").alias("hash"), "node", "root", "own", "held")).alias("lead")
+    first = F.min(F.struct(F.xxhash64("key", "node").alias("hash"), "node", "root", "own", "held", "marks")).alias("lead")
     leads = materialize(open_.groupBy("key").agg(first, F.count("*").alias("n")))
-    return spread_join(open_, leads, "key", open_.count()).where((F.col("root") != F.col("lead.root")) & _may_be("own", "held", "lead.own", "lead.held")).withColumn("b", F.col("lead.node")).select(*_ordered("node", "b")).distinct()
+    return spread_join(open_, leads, "key", open_.count()).where((F.col("root") != F.col("lead.root")) & _may_be(("own", "held", "marks"), ("lead.own", "lead.held", "lead.marks"))).withColumn("b", F.col("lead.node")).select(*_ordered("node", "b")).distinct()
 
 
 def _met(open_: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -172,9 +194,27 @@ def _met(open_: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     parts = F.ceil(F.col("size") / CROWD).cast("int")
     rows = materialize(open_.join(nodes.select("node", "bits"), "node").withColumn("parts", parts))
-    a = rows.select("key", F.col("node").alias("a"), F.col("root").alias("of_a"), F.col("bits").alias("x"), F.col("own").alias("own_a"), F.col("held").alias("held_a"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
-    b = rows.select("key", F.col("node").alias("b"), F.col("root").alias("of_b"), F.col("bits").alias("y"), F.col("own").alias("own_b"), F.col("held").alias("held_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return a.join(b, ["key", "part"]).where((F.col("of_a") != F.col("of_b")) & _may_be("own_a", "held_a", "own_b", "held_b") & (_differing("x", "y") <= MAY_DIFFER)).select(*_ordered("a", "b")).distinct()
+    a = rows.select("key", F.col("node").alias("a"), F.col("root").alias("of_a"), F.col("bits").alias("x"), F.col("own").alias("own_a"), F.col("held").alias("held_a"), F.col("marks").alias("marks_a"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    b = rows.select("key", F.col("node").alias("b"), F.col("root").alias("of_b"), F.col("bits").alias("y"), F.col("own").alias("own_b"), F.col("held").alias("held_b"), F.col("marks").alias("marks_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    once = (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b"))
+    may = _may_be(("own_a", "held_a", "marks_a"), ("own_b", "held_b", "marks_b"))
+    return a.join(b, ["key", "part"]).where(once & (_differing("x", "y") <= MAY_DIFFER) & may).select("a", "b").distinct()
+
+
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, lead): anchors of several nodes, each with its node of the least rank; of anchors that have the same nodes one.
+
+    Keys are counted alone first, so that only those of several nodes take more than themselves along. Equal sets of nodes are told by
+    two 64-bit hashes and their size.
+    """
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    several = materialize(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = spread_join(members, several.withColumn("size", F.col("n")), "key", nodes.count() * TABLES)
+    met = materialize(met.join(nodes.select("node", "rank"), "node"))
+    sets = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"set_{i}") for i in range(2)]
+    leads = met.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("lead"), F.count("*").alias("n"), *sets)
+    one = leads.groupBy("n", "set_0", "set_1").agg(F.min(F.struct("key", F.col("lead.node").alias("lead"))).alias("one"))
+    return materialize(spread_join(met.drop("rank"), materialize(one.select("one.*", "n")), "key", met.count()))
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -190,11 +230,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     copies = sketches.groupBy("node").agg(F.min(order).alias("at"), F.min("rank").alias("rank"), F.count("*").alias("copies"))
     first = sketches.select("node", order, "keys", "bits").dropDuplicates(["node", "at"])
     nodes = materialize(copies.join(first, ["node", "at"]).select("node", "rank", "copies", "keys", "bits", F.col("at.doc_id").alias("first_id")))
-    members = nodes.select("node", "rank", F.explode("keys").alias("key"))
-    leads = members.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(leads.select("key", F.col("lead.node").alias("lead"), "n"))
-    shared = materialize(spread_join(members.drop("rank"), buckets.withColumn("size", F.col("n")), "key", nodes.count() * TABLES))
-
+    shared = _shared(nodes)
     tried = materialize(shared.where("node <> lead").select(*_ordered("lead", "node")).distinct())
     edges = _similar(_plausible(tried, nodes), nodes, docs)
     roots = components(edges)

@@ -647,3 +647,23 @@ def test_crowds_just_under_the_threshold(spark, monkeypatch):
         monkeypatch.setattr(similar, "CROWD", crowd)
         got = {r.doc_id: r.component_id for r in similar.similar_components(stable).collect()}
         assert got == expect
+
+
+def test_anchors_of_equal_nodes_are_one_and_maps_bound_what_sets_share(spark):
+    keys = {1: [10, 20, 30, 40], 2: [10, 20, 31, 41], 3: [10, 20, 32, 40], 4: [11, 21, 33, 42]}
+    nodes = common.materialize(spark.createDataFrame([(n, -n, k) for n, k in keys.items()], "node long, rank long, keys array<int>"))
+    got = {(r.key, r.node): (r.size, r.lead) for r in similar._shared(nodes).collect()}
+    assert got == {(10, 1): (3, 3), (10, 2): (3, 3), (10, 3): (3, 3), (40, 1): (2, 3), (40, 3): (2, 3)}
+
+    rng = np.random.default_rng(4)
+    pool, pairs = rng.integers(0, 1 << 63, 5000).astype(np.uint64), []
+    for n in (3, 40, 150, 900):
+        for share in (0.0, 0.5, 0.7, 0.79, 0.8, 0.81, 1.0):
+            both = round(2 * n * share / (1 + share))
+            x, y = pool[:n], np.concatenate([pool[:both], pool[2000 : 2000 + n - both]])
+            pairs.append((n, both, similar.marked(x).tolist(), similar.marked(y).tolist()))
+    df = spark.createDataFrame(pairs, "n int, both int, x array<long>, y array<long>")
+    may = similar._may_be(("n", "n", "x"), ("n", "n", "y"))
+    found = df.select("n", "both", may.alias("may")).collect()
+    assert all(r.may for r in found if 10 * r.both >= 8 * (2 * r.n - r.both))
+    assert not any(r.may for r in found if r.n in (40, 150) and r.both <= round(2 * r.n * 0.7 / 1.7))
