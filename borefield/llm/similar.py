@@ -236,15 +236,21 @@ def similar_components(docs: DataFrame) -> DataFrame:
     roots = components(edges)
     open_ = _open(shared.drop("lead"), roots)
     open_ = _bounded(open_, _bounds(open_, nodes, docs))
+    turned = False
+    crowds, few = open_.where(F.col("size") > CROWD), open_.where(F.col("size") <= CROWD)
     for turn in range(TURNS):  # a crowd of near copies grows together here, so that few pairs across components are left
-        crowded = materialize(open_.where((F.col("size") > CROWD) & (F.pmod(F.xxhash64("key"), F.lit(SHARES)) == turn)))
+        crowded = materialize(crowds.where(F.pmod(F.xxhash64("key"), F.lit(SHARES)) == turn))
         if not crowded.head(1):
             break
         led = materialize(_led(crowded).join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(led)
         edges = edges.unionByName(_similar(_plausible(led, nodes), nodes, docs))
         roots = components(edges)
-        open_ = _open(open_.drop("root"), roots)
+        crowds = _open(crowds.drop("root"), roots)
+        turned = True
+    if turned:
+        few = _open(few.drop("root"), roots)
+    open_ = crowds.unionByName(few)
     rest = materialize(_met(open_, nodes).join(tried, ["a", "b"], "left_anti"))
     if rest.head(1) and (more := _similar(rest, nodes, docs)).head(1):
         roots = components(edges.unionByName(more))
