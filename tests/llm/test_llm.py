@@ -667,3 +667,29 @@ def test_anchors_of_equal_nodes_are_one_and_maps_bound_what_sets_share(spark):
     found = df.select("n", "both", may.alias("may")).collect()
     assert all(r.may for r in found if 10 * r.both >= 8 * (2 * r.n - r.both))
     assert not any(r.may for r in found if r.n in (40, 150) and r.both <= round(2 * r.n * 0.7 / 1.7))
+
+
+def test_only_members_of_repeated_anchors_are_sent_and_few_pairs_take_their_sets_along(spark, monkeypatch):
+    """Anchors of one node don't leave the scan; of ten equal links to two leads only those that connect are compared by whole sets."""
+    keys = {n: [1 << 24 | n, 2 << 24 | 7, 3 << 24 | n // 2] + list(range(10_000 * n, 10_000 * n + 200)) for n in range(1, 9)}
+    nodes = common.materialize(spark.createDataFrame([(n, -n, k) for n, k in keys.items()], "node long, rank long, keys array<int>"))
+    sent = Counter(r.key for r in similar._repeated(nodes).collect())
+    assert all(sent[k] == n for k, n in Counter(k for ks in keys.values() for k in ks).items() if n > 1)
+    assert sum(n == 1 for n in sent.values()) < 0.2 * 8 * 200
+
+    grams = {n: list(range(100)) for n in range(12)}
+    pairs = [(lead, n, n, 5 - lead) for lead in (0, 1) for n in range(2, 12)] + [(0, 1, 1, 1)]
+    marks = {n: similar.marked(np.array(g, np.uint64), similar.PAIR_MARKS).tolist() for n, g in grams.items()}
+    sets = common.materialize(spark.createDataFrame([(n, g, marks[n]) for n, g in grams.items()], "node long, grams array<long>, wide array<long>"))
+    compared, real = [], similar._similar
+    monkeypatch.setattr(similar, "_similar", lambda some, *a: (compared.append(some.count()), real(some, *a))[1])
+    roots = similar._led_roots(common.materialize(spark.createDataFrame(pairs, "a long, b long, node long, votes long")), sets)
+    assert {r.node: r.root for r in roots.collect()} == {n: 0 for n in range(1, 12)} and compared == [11, 0]
+
+
+def test_anchors_that_still_have_pairs(spark):
+    rows = [(k, n, 3) for k, ns in {1: (1, 2, 3), 2: (1, 2, 4), 3: (4, 5, 6)}.items() for n in ns]
+    shared = common.materialize(spark.createDataFrame(rows, "key int, node long, size long"))
+    roots = common.materialize(spark.createDataFrame([(2, 1), (3, 1), (5, 4), (6, 4)], "node long, root long"))
+    few, all_ = (Counter(map(tuple, f(shared, roots).select("key", "node", "root").collect())) for f in (similar._few_open, similar._open))
+    assert few == all_ == Counter([(2, 1, 1), (2, 2, 1), (2, 4, 4)])
